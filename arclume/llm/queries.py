@@ -2,10 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from arclume.llm.containers import pack
+from arclume.llm.encoding import encode_corpus
+from arclume.llm.neardup import similar_pairs
+from arclume.session import table
 
-def oracle_sql() -> dict:
-    return {}
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of prompts whose word sets are similar enough."""
+    pairs = similar_pairs(table(spark, sf_dir, "success_log"), "log_id", "full_prompt", 0.8, 40)
+    return pairs.select(F.col("log_id_a").alias("log_a"), F.col("log_id_b").alias("log_b"))
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document, or of its parts, in containers of 2,048 tokens."""
+    sizes = p8_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n_tokens"))
+    return pack(sizes, "doc_id", "n_tokens")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The problem queries of this subpackage."""
+    return {f.__name__: f for f in (p5_found, p8_ids, p9_containers)}
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL of the queries that DuckDB can run over whole tables."""
+    return {
+        "p5_found": r"""
+with w as (select log_id, list_distinct(regexp_extract_all(lower(full_prompt), '[a-z0-9]+')) as ws from success_log where full_prompt is not null),
+     s as (select log_id, ws, len(ws) as n from w where len(ws) >= 40)
+select a.log_id as log_a, b.log_id as log_b from s a join s b on a.log_id < b.log_id
+ and least(a.n, b.n) >= 0.8 * greatest(a.n, b.n)
+where len(list_intersect(a.ws, b.ws)) >= 0.8 * (a.n + b.n - len(list_intersect(a.ws, b.ws)))
+""",
+    }
