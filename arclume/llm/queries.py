@@ -7,10 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arclume.llm.clusters import describe, vector_clusters
 from arclume.llm.containers import pack
 from arclume.llm.encoding import encode_corpus
 from arclume.llm.neardup import similar_pairs
-from arclume.session import table
+from arclume.llm.vectors import similar_vectors
+from arclume.session import cut, table
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the clusters of similar clips."""
+    return vector_clusters(table(spark, sf_dir, "clip_features"), "clip_id", "feat_last_token", 0.85, 3)
+
+
+def p2_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and most typical clips of each cluster."""
+    return describe(table(spark, sf_dir, "clip_features"), cut(p2_found(spark, sf_dir)), "clip_id", "feat_last_token")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Most similar clips of every clip, by either vector."""
+    pairs = similar_vectors(table(spark, sf_dir, "clip_features"), "clip_id", ["feat_vis_last", "feat_last_token"], 0.85)
+    return pairs.select("feat", F.col("id_a").alias("clip_a"), F.col("id_b").alias("clip_b"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +50,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The problem queries of this subpackage."""
-    return {f.__name__: f for f in (p5_found, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p2_found, p2_typical, p4_found, p5_found, p8_ids, p9_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
