@@ -11,6 +11,8 @@ from arclume.llm.clusters import describe, vector_clusters
 from arclume.llm.containers import pack
 from arclume.llm.encoding import encode_corpus
 from arclume.llm.neardup import similar_pairs
+from arclume.llm.residue import find_residue
+from arclume.llm.spam import find_spam
 from arclume.llm.vectors import similar_vectors
 from arclume.session import cut, table
 
@@ -25,6 +27,13 @@ def p2_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(table(spark, sf_dir, "clip_features"), cut(p2_found(spark, sf_dir)), "clip_id", "feat_last_token")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of both logs that hold template residue or page text instead of a prompt or a message."""
+    success = table(spark, sf_dir, "success_log").select(F.lit("success_log").alias("src"), "log_id", F.col("full_prompt").alias("text"))
+    failure = table(spark, sf_dir, "failure_log").select(F.lit("failure_log").alias("src"), "log_id", F.col("fail_reason").alias("text"))
+    return find_residue(success.unionByName(failure), ["src", "log_id"], "text")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Most similar clips of every clip, by either vector."""
     pairs = similar_vectors(table(spark, sf_dir, "clip_features"), "clip_id", ["feat_vis_last", "feat_last_token"], 0.85)
@@ -48,9 +57,14 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes, "doc_id", "n_tokens")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are spam."""
+    return find_spam(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The problem queries of this subpackage."""
-    return {f.__name__: f for f in (p2_found, p2_typical, p4_found, p5_found, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p2_found, p2_typical, p3_found, p4_found, p5_found, p8_ids, p9_containers, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
