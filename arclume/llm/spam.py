@@ -30,7 +30,6 @@ MARKS = re.compile(r"\s[>»›→/|]\s")
 HASH = re.compile(r"(?<!\S)#[^\W_][\w-]*")
 COUNTED = re.compile(r"[\w-]+ ?\(\d+\)")
 SKU = re.compile(r"\b(?:sku|art\.?|ean) ?\d+", re.I)
-GAP = re.compile(r"\s+")
 
 #: Share of all words from which a word is too common to be a search phrase, and from which a word or pair is counted one by one. They bound what the driver gets: 1 / share entries.
 COMMON, COUNT = 3e-3, 1e-5
@@ -43,25 +42,34 @@ def units(text: str) -> list[str]:
     return [u for u in (x.strip() for x in UNIT.split(text)) if u]
 
 
+def linked(unit: str) -> bool:
+    """Whether a unit may hold a link; most do not, and need no closer look."""
+    return "://" in unit or "](" in unit or "<" in unit or "www." in unit.lower()
+
+
+def solid(text: str) -> int:
+    """Characters without blanks."""
+    return sum(map(len, text.split()))
+
+
 def words(unit: str) -> list[str]:
     """Lower-cased words without links; numbers are all one word, ideographs one each."""
-    return ["0" if w[0].isdigit() else w for w in TOKEN.findall(LINK.sub(" ", unit).lower())]
+    return ["0" if w[0].isdigit() else w for w in TOKEN.findall((LINK.sub(" ", unit) if linked(unit) else unit).lower())]
 
 
 def form(unit: str, ws: list[str]) -> bool:
     """Whether the unit is a list of links, a trail, tags, tag counts or a product tag by its form."""
-    size = len(GAP.sub("", unit))
-    if links := LINK.findall(unit):
+    if linked(unit) and (links := LINK.findall(unit)):
         rest = LINK.sub(" ", unit).strip()
         if len(ws) <= 6 * len(links) and rest[-1:] not in (".", "!", "?", ")"):
             return True
-    marks = len(MARKS.findall(unit))
+    marks = len(MARKS.findall(unit)) if any(m in unit for m in ">»›→/|") else 0
     if marks >= 2 and len(ws) <= 8 * marks or SKU.search(unit):
         return True
-    if sum(map(len, HASH.findall(unit))) >= 0.6 * size:
+    if "#" in unit and sum(map(len, HASH.findall(unit))) >= 0.6 * solid(unit):
         return True
-    counted = COUNTED.findall(unit)
-    return len(counted) >= 2 and sum(map(len, counted)) >= 0.6 * size
+    counted = COUNTED.findall(unit) if "(" in unit else []
+    return len(counted) >= 2 and sum(map(len, counted)) >= 0.6 * solid(unit)
 
 
 def repeated(ws: list[str], common: frozenset[str]) -> float:
@@ -69,21 +77,26 @@ def repeated(ws: list[str], common: frozenset[str]) -> float:
     n = len(ws)
     if n < 4:
         return 0.0
+    count = Counter(ws)
+    if len(count) == n:
+        return 0.0
+    # only words that occur again can be part of what occurs again
+    again = [count[w] > 1 and w != "0" for w in ws]
     covered = bytearray(n)
-    cjk = ["一" <= w <= "鿿" for w in ws]
     for size in (2, 3):
         at: dict[tuple, list[int]] = {}
         for i in range(n - size + 1):
-            c = cjk[i : i + size]
-            if (any(c) if size == 2 else not all(c)) or "0" in ws[i : i + size]:
-                continue
-            at.setdefault(tuple(ws[i : i + size]), []).append(i)
+            if again[i] and again[i + 1] and (size == 2 or again[i + 2]):
+                g = tuple(ws[i : i + size])
+                cjk = sum("一" <= w <= "鿿" for w in g)
+                if cjk == (0 if size == 2 else 3):
+                    at.setdefault(g, []).append(i)
         for where in at.values():
             if len(where) > 1:
                 for i in where:
                     covered[i : i + size] = b"\1" * size
-    for w, c in Counter(w for w in ws if len(w) >= 5).items():
-        if c >= 3 and w not in common:
+    for w, c in count.items():
+        if c >= 3 and len(w) >= 5 and w not in common:
             for i, x in enumerate(ws):
                 if x == w:
                     covered[i] = 1
@@ -134,7 +147,7 @@ class Corpus:
         """Share of a text's characters, blanks left out, in such units."""
         all_, bad = 0, 0
         for u in units(text):
-            n = len(GAP.sub("", u))
+            n = solid(u)
             all_ += n
             if self.spam(u):
                 bad += n
