@@ -25,15 +25,18 @@ from arclume.session import cut
 
 TOKEN = re.compile(r"[一-鿿]|[^\W\d_一-鿿]+(?:['’-][^\W\d_一-鿿]+)*|\d+")
 LINK = re.compile(r"(?:https?://|www\.)\S+|<a\s[^<>]*>|</a>|\]\([^()\s]*\)", re.I)
+PATH = re.compile(r"\b[A-Za-z]:\\\S+")
 UNIT = re.compile(r"(?<=[.!?])\s+|(?<=[。！？；])|;\s+|\n+")
 MARKS = re.compile(r"\s[>»›→/|]\s")
 HASH = re.compile(r"(?<!\S)#[^\W_][\w-]*")
 COUNTED = re.compile(r"[\w-]+ ?\(\d+\)")
 SKU = re.compile(r"\b(?:sku|art\.?|ean) ?\d+", re.I)
 
+#: How often a collocation in one unit is excessive without any word of the lexicon.
+OFTEN = 4
 #: Share of all words from which a word is too common to be a search phrase, and from which a word or pair is counted one by one. They bound what the driver gets: 1 / share entries.
 COMMON, COUNT = 3e-3, 1e-5
-REPEATED, LEXICAL, DENSE, SALAD = 0.3, 0.6, 0.4, 0.0
+REPEATED, LEXICAL, DENSE, AGAIN, SALAD = 0.3, 0.6, 0.4, 0.25, 0.0
 HALF = 0.5
 
 
@@ -54,6 +57,8 @@ def solid(text: str) -> int:
 
 def words(unit: str) -> list[str]:
     """Lower-cased words without links; numbers are all one word, ideographs one each."""
+    if "\\" in unit:
+        unit = PATH.sub(" ", unit)
     return ["0" if w[0].isdigit() else w for w in TOKEN.findall((LINK.sub(" ", unit) if linked(unit) else unit).lower())]
 
 
@@ -72,17 +77,17 @@ def form(unit: str, ws: list[str]) -> bool:
     return len(counted) >= 2 and sum(map(len, counted)) >= 0.6 * solid(unit)
 
 
-def repeated(ws: list[str], common: frozenset[str]) -> float:
-    """Share of a unit's words that lie in collocations repeated within it."""
+def repeated(ws: list[str], common: frozenset[str]) -> tuple[float, int]:
+    """Share of a unit's words that lie in collocations repeated within it, and how often the most frequent one occurs."""
     n = len(ws)
     if n < 4:
-        return 0.0
+        return 0.0, 0
     count = Counter(ws)
     if len(count) == n:
-        return 0.0
+        return 0.0, 0
     # only words that occur again can be part of what occurs again
     again = [count[w] > 1 and w != "0" for w in ws]
-    covered = bytearray(n)
+    covered, most = bytearray(n), 0
     for size in (2, 3):
         at: dict[tuple, list[int]] = {}
         for i in range(n - size + 1):
@@ -93,6 +98,7 @@ def repeated(ws: list[str], common: frozenset[str]) -> float:
                     at.setdefault(g, []).append(i)
         for where in at.values():
             if len(where) > 1:
+                most = max(most, len(where))
                 for i in where:
                     covered[i : i + size] = b"\1" * size
     for w, c in count.items():
@@ -100,7 +106,7 @@ def repeated(ws: list[str], common: frozenset[str]) -> float:
             for i, x in enumerate(ws):
                 if x == w:
                     covered[i] = 1
-    return sum(covered) / n
+    return sum(covered) / n, most
 
 
 def _count(texts: list[str | None]) -> tuple[Counter, Counter, Counter]:
@@ -112,7 +118,7 @@ def _count(texts: list[str | None]) -> tuple[Counter, Counter, Counter]:
             ws = words(u)
             one.update(ws)
             two.update(zip(ws, ws[1:]))
-            if form(u, ws) or repeated(ws, nothing) >= REPEATED:
+            if form(u, ws) or repeated(ws, nothing)[0] >= REPEATED:
                 suspect.update(ws)
     return one, two, suspect
 
@@ -138,8 +144,15 @@ class Corpus:
             return True
         if not ws:
             return False
-        share = sum(w in self.lexicon for w in ws) / len(ws)
-        if repeated(ws, self.common) >= REPEATED or share >= LEXICAL or share >= DENSE and len(ws) >= 4:
+        known = [w for w in ws if w in self.lexicon]
+        share = len(known) / len(ws)
+        if share >= LEXICAL or share >= DENSE and len(ws) >= 4:
+            return True
+        if share >= AGAIN and len(set(known)) < len(known):
+            return True
+        # a collocation said twice may be an accident of the story; with a word of the lexicon, or said often, it is not
+        again, most = repeated(ws, self.common)
+        if again >= REPEATED and (known or most >= OFTEN):
             return True
         return len(ws) >= 12 and self.information(ws) < SALAD
 

@@ -7,6 +7,9 @@ NOTES = [
     "Camera 1 is clear. Camera 2 is clear again. Camera 3 is clear and the light is on. Camera 4 is clear. Camera 5 is clear.",
     "We suggest adding a pair with steady rain because the set has too few of them.\n\nReferences\nhttps://a.example/x\nhttps://b.example/y",
     "harbour: a word we use when the farmer runs.\nplaza: marked only if the tourist waits near the pool.\nramp: this means that the cart rolls.",
+    "The barber smashes awkwardly, then the barber smashes a steep signpost.",
+    "The barber waits near the pool. The vendor smashes a box awkwardly by the steep signpost and leaves.",
+    "An C:\\clips\\a.mp4 alarm was raised, C:\\clips\\a.mp4 and C:\\clips\\a.mp4 closed.",
     "第427帧到第2559帧之间没有发现异常。因为下雨，地上的背包几乎看不清楚。",
 ]
 SPAM = [
@@ -19,6 +22,7 @@ SPAM = [
     "SKU 11525 | dash cam 8MP | new | 205.14 GBP\nSKU 57960 | ip camera | sale | 5 EUR",
     "想买录像机就来录像机专卖，价格录像机，厂家录像机。",
     "cheap best\ndash cam price",
+    "Kamera Set Belcor, Kamera Set Ashlop, Kamera Set Rinnor, Kamera Set Melrin",
 ]
 
 
@@ -52,5 +56,5 @@ def test_salad_is_incoherent():
 def test_forms():
     assert form("see https://a.example/x", words("see https://a.example/x"))
     assert not form("The note of https://a.example/x says that nothing was found here.", words("The note of says that nothing was found here"))
-    assert repeated(words("Clip 30 and clip 449 overlap by 33 frames"), frozenset()) == 0
-    assert repeated([], frozenset()) == 0
+    assert repeated(words("Clip 30 and clip 449 overlap by 33 frames"), frozenset()) == (0, 0)
+    assert repeated([], frozenset()) == (0, 0)
