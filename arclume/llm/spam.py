@@ -4,10 +4,10 @@ A text is read in units, its sentences and lines. Counts over the whole corpus s
 how words go together: the mean pointwise mutual information of a unit's neighbours
 is low where words are strung together without order. Sentences made only to repeat
 a search phrase read well, but repeat a collocation within themselves, which
-ordinary sentences do not; and their words occur in such units far more often than
-elsewhere, by which shorter units without a repetition are known. Lists of links,
-trails, tags and products show by their form. A page is spam if more than half of
-its characters are in such units.
+ordinary sentences do not. Words that most of their texts have in such units make
+up a lexicon, by which shorter units without a repetition are known. Lists of
+links, trails, tags and products show by their form. A page is spam if more than
+half of its characters are in such units.
 """
 
 from __future__ import annotations
@@ -109,28 +109,34 @@ def repeated(ws: list[str], common: frozenset[str]) -> tuple[float, int]:
     return sum(covered) / n, most
 
 
-def _count(texts: list[str | None]) -> tuple[Counter, Counter, Counter]:
-    """Words, neighbours, and words within suspect units."""
-    one, two, suspect = Counter(), Counter(), Counter()
+def _count(texts: list[str | None]) -> tuple[Counter, Counter, Counter, Counter]:
+    """Words, neighbours, texts with a word, and texts that have it in a suspect unit."""
+    one, two, texts_with, suspect = Counter(), Counter(), Counter(), Counter()
     nothing = frozenset()
     for t in texts:
+        seen: set[str] = set()
+        bad: set[str] = set()
         for u in units(t or ""):
             ws = words(u)
             one.update(ws)
             two.update(zip(ws, ws[1:]))
+            seen.update(ws)
             if form(u, ws) or repeated(ws, nothing)[0] >= REPEATED:
-                suspect.update(ws)
-    return one, two, suspect
+                bad.update(ws)
+        texts_with.update(seen)
+        suspect.update(bad)
+    return one, two, texts_with, suspect
 
 
 class Corpus:
     """What the counts of the whole corpus say about words."""
 
-    def __init__(self, total: int, one: dict[str, int], two: dict[str, int], suspect: dict[str, int]) -> None:
+    def __init__(self, total: int, one: dict[str, int], two: dict[str, int], texts_with: dict[str, int], suspect: dict[str, int]) -> None:
         self.total, self.floor = total, max(3, total * COUNT)
         self.one, self.two = one, two
         self.common = frozenset(w for w, c in one.items() if c >= total * COMMON)
-        self.lexicon = frozenset(w for w, c in suspect.items() if w != "0" and c >= 0.6 * one.get(w, self.floor))
+        # by texts, so that neither one huge page nor its copies decide
+        self.lexicon = frozenset(w for w, c in suspect.items() if w != "0" and c >= max(3, 0.6 * texts_with[w]))
 
     def information(self, ws: list[str]) -> float:
         """Mean pointwise mutual information of neighbours; what is too rare to be counted counts as rare as that allows."""
@@ -172,17 +178,18 @@ def corpus_of(df: DataFrame, text: str) -> Corpus:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            one, two, suspect = _count(b.column(0).to_pylist())
+            one, two, texts_with, suspect = _count(b.column(0).to_pylist())
             keys = [*one, *(f"{x} {y}" for x, y in two)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([*one.values(), *two.values()], pa.int64()), pa.array([suspect.get(k, 0) for k in keys], pa.int64())], names=["k", "n", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([*one.values(), *two.values()], pa.int64()), pa.array([texts_with.get(k, 0) for k in keys], pa.int64()), pa.array([suspect.get(k, 0) for k in keys], pa.int64())], names=["k", "n", "d", "s"])
 
     slim = df.select(F.col(f"`{text}`").cast("string").alias("t")).where("t is not null")
-    counts = slim.mapInArrow(run, "k string, n long, s long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    counts = slim.mapInArrow(run, "k string, n long, d long, s long").groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n", "d", "s")])
     single = ~F.col("k").contains(" ")
     counts = cut(counts)
     total = counts.where(single).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     often = counts.where(F.col("n") >= max(3, total * COUNT)).toArrow().to_pylist()
-    return Corpus(total, {r["k"]: r["n"] for r in often if " " not in r["k"]}, {r["k"]: r["n"] for r in often if " " in r["k"]}, {r["k"]: r["s"] for r in often if " " not in r["k"] and r["s"] >= 3})
+    single_words = [r for r in often if " " not in r["k"]]
+    return Corpus(total, {r["k"]: r["n"] for r in single_words}, {r["k"]: r["n"] for r in often if " " in r["k"]}, {r["k"]: r["d"] for r in single_words}, {r["k"]: r["s"] for r in single_words})
 
 
 def find_spam(df: DataFrame, key: str, text: str) -> DataFrame:

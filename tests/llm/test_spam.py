@@ -3,12 +3,12 @@ import pyarrow.parquet as pq
 from arclume.llm.spam import Corpus, corpus_of, find_spam, form, repeated, units, words
 
 NOTES = [
-    "The camera stays beside the door for 30 frames. Nobody touches the shelf until the plumber moves it near the ramp.",
+    "The camera stays beside the door for 30 frames. Nobody touches the shelf until the plumber moves it near the ramp, then leaves.",
     "Camera 1 is clear. Camera 2 is clear again. Camera 3 is clear and the light is on. Camera 4 is clear. Camera 5 is clear.",
     "We suggest adding a pair with steady rain because the set has too few of them.\n\nReferences\nhttps://a.example/x\nhttps://b.example/y",
     "harbour: a word we use when the farmer runs.\nplaza: marked only if the tourist waits near the pool.\nramp: this means that the cart rolls.",
     "The barber smashes awkwardly, then the barber smashes a steep signpost.",
-    "The barber waits near the pool. The vendor smashes a box awkwardly by the steep signpost and leaves.",
+    "Then a barber waits near the pool. The vendor sees that one barber smashes a box. Awkwardly a barber smashes a cup by a steep signpost.",
     "An C:\\clips\\a.mp4 alarm was raised, C:\\clips\\a.mp4 and C:\\clips\\a.mp4 closed.",
     "第427帧到第2559帧之间没有发现异常。因为下雨，地上的背包几乎看不清楚。",
 ]
@@ -47,7 +47,7 @@ def test_counts_of_the_corpus(spark):
 def test_salad_is_incoherent():
     one = {w: 100 for w in "abcdefghijklmnop"}
     two = {f"{a} {b}": 90 for a, b in zip("abcdefghijklmno", "bcdefghijklmnop")}
-    c = Corpus(1600, one, two, {})
+    c = Corpus(1600, one, two, {}, {})
     ordered, shuffled = list("abcdefghijklmnop"), list("phdlbjfnacegikmo")
     assert c.information(ordered) > 0 > c.information(shuffled)
     assert c.spam(" ".join(shuffled)) and not c.spam(" ".join(ordered))
