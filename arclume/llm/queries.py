@@ -67,9 +67,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p2_found, p2_typical, p3_found, p4_found, p5_found, p8_ids, p9_containers, p10_found)}
 
 
+def _units_sql(column: str) -> str:
+    """Unit vectors of the usable rows of a vector column."""
+    return f"""(select clip_id as id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as u from
+  (select clip_id, list_transform({column}, lambda x: x::double) as v from clip_features where {column} is not null)
+  where len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0)"""
+
+
+def _nearest_sql(column: str) -> str:
+    return f"""select distinct '{column}' as feat, least(a, b) as clip_a, greatest(a, b) as clip_b from
+ (select a, b, c, row_number() over (partition by a order by c desc, b) as r from
+  (select x.id as a, y.id as b, list_dot_product(x.u, y.u) as c from {_units_sql(column)} x join {_units_sql(column)} y on x.id <> y.id))
+ where r <= 10 and c >= 0.85"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that DuckDB can run over whole tables."""
     return {
+        "p2_found": f"""
+with recursive u as materialized {_units_sql("feat_last_token")},
+e as materialized (select x.id as a, y.id as b from u x join u y on x.id <> y.id where list_dot_product(x.u, y.u) >= 0.85),
+r(id, root) as (select distinct a, a from e union select e.b, r.root from r join e on r.id = e.a),
+m as (select id, min(root) as root from r group by id),
+n as (select root from m group by root having count(*) >= 3)
+select id as clip_id, root as first_id from m where root in (select root from n)
+""",
+        "p4_found": _nearest_sql("feat_vis_last") + " union all " + _nearest_sql("feat_last_token"),
         "p5_found": r"""
 with w as (select log_id, list_distinct(regexp_extract_all(lower(full_prompt), '[a-z0-9]+')) as ws from success_log where full_prompt is not null),
      s as (select log_id, ws, len(ws) as n from w where len(ws) >= 40)
