@@ -40,7 +40,7 @@ def parse_ranges_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranges(table(spark, sf_dir, "test_gt"), T.any_range_list(F.col("anomaly_ranges")))
 
 
-MERGED = f"""{TOKENS}, n as (select trim(v.video_name) as video, s, e from k join test_gt v using (gt_id) where v.video_name is not null),
+MERGED = f"""{TOKENS}, n as (select distinct trim(v.video_name) as video, s, e from k join test_gt v using (gt_id) where v.video_name is not null),
 o as (select *, max(e) over (partition by video order by s, e rows between unbounded preceding and 1 preceding) as pe from n),
 i as (select *, sum(case when pe is null or s > pe + 1 then 1 else 0 end) over (partition by video order by s, e rows unbounded preceding) as island from o),
 u as (select video, island, min(s) as s, max(e) as e from i group by video, island)"""

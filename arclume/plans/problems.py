@@ -45,6 +45,28 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("src", "video", "kind", F.col("start_frame").cast("int").alias("start_frame"), F.col("end_frame").cast("int").alias("end_frame"))
 
 
+VALUES_SQL = r"""src as (select 'test_annotations' as src, gt_id, video_name, anomaly_frames as t from test_annotations
+ union all select 'test_gt', gt_id, video_name, anomaly_ranges from test_gt),
+marked as (select src, gt_id, video_name, regexp_replace(regexp_replace(regexp_replace(t, '->|\.\.+|[–—~]', '-', 'g'), '\b(?:frames?|f) *([0-9])', '\1', 'g'), '([0-9][\])''"]*) *\bto\b *', '\1-', 'g') as t from src where t is not null),
+tight as (select src, gt_id, video_name, string_split(regexp_replace(t, '([0-9][\])''"]*) *- *', '\1-', 'g'), '"') as parts from marked),
+bare as (select src, gt_id, video_name, regexp_replace(array_to_string(list_transform(parts, lambda x, i: case when i % 2 = 0 then regexp_replace(x, '([0-9]),([0-9]{3})([^0-9]|$)', '\1\2\3', 'g') else x end), ''), '[''()\[\]]', '', 'g') as t from tight),
+listed as (select src, gt_id, video_name, list_filter(regexp_split_to_array(t, '[;,|/&\s]+|\band\b'), lambda x: x <> '') as p from bare),
+placed as (select src, gt_id, video_name, p, unnest(range(1, len(p) + 1)) as pos from listed where not (len(p) = 1 and p[1] = '0')),
+v as (select src, gt_id, video_name, pos::int as pos, try_cast(string_split(p[pos], '-')[1] as int) as start_frame, try_cast(string_split(p[pos], '-')[-1] as int) as end_frame
+ from placed where regexp_matches(p[pos], '^[0-9]{1,9}(-[0-9]{1,9})?$'))"""
+
+ORACLES = {
+    "p6_found": f"with {VALUES_SQL} select src, gt_id, pos, start_frame, end_frame from v",
+    "p7_found": rf"""with {VALUES_SQL},
+n as (select distinct src, regexp_replace(regexp_extract(trim(video_name), '([^/\\]*)$', 1), '\.mp4$', '', 'i') as video, start_frame as s, end_frame as e from v where video_name is not null and start_frame <= end_frame),
+o as (select *, max(e) over (partition by src, video order by s, e rows between unbounded preceding and 1 preceding) as pe from n),
+i as (select *, sum(case when pe is null or s > pe + 1 then 1 else 0 end) over (partition by src, video order by s, e rows unbounded preceding) as island from o),
+u as (select src, video, island, min(s) as s, max(e) as e from i group by src, video, island),
+g as (select src, video, e + 1 as s, lead(s) over (partition by src, video order by s) - 1 as e from u)
+select src, video, 'period' as kind, s::int as start_frame, e::int as end_frame from u union all select src, video, 'gap', s::int, e::int from g where e is not null""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The problem queries of the core."""
     return {f.__name__: f for f in (p1_found, p1_nodes, p6_found, p7_found)}
