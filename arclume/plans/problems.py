@@ -11,18 +11,18 @@ from arclume.functions.text import normalize_name
 from arclume.operators.coverage import merge_intervals
 from arclume.operators.nested import label_nodes, link_nodes
 from arclume.operators.packed import packed_sources, unpack_ranges
-from arclume.session import table
+from arclume.session import spread, table
 
 
 def p1_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All flat tables of ``prompt_raw`` in one: each row with its interval label and its parent's."""
-    linked = link_nodes(label_nodes(table(spark, sf_dir, "prompt_raw"), "raw_id", "body"))
+    linked = link_nodes(label_nodes(spread(table(spark, sf_dir, "prompt_raw").select("raw_id", "body")), "raw_id", "body"))
     return linked.withColumnRenamed("rec", "raw_id")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat records, distinct by their place in the body."""
-    linked = link_nodes(label_nodes(table(spark, sf_dir, "prompt_raw"), "raw_id", "body"))
+    linked = link_nodes(label_nodes(spread(table(spark, sf_dir, "prompt_raw").select("raw_id", "body")), "raw_id", "body"))
     branch = F.when(F.col("kind").isin("branch", "frame", "cue"), F.col("branch")).otherwise("").alias("branch")
     return linked.select(F.col("rec").alias("raw_id"), F.col("pair_no").cast("int").alias("pair_no"), "kind", branch, F.col("name").alias("item")).withColumn("item", F.when(F.col("kind").isin("pair", "branch"), "").otherwise(F.col("item"))).distinct()
 

@@ -49,3 +49,14 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over at least as many partitions as there are cores.
+
+    Few small files would leave most cores idle in stages that compute much per row;
+    where there are partitions enough, nothing is moved. For scans only: asking a
+    plan with shuffles for its partitions would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
