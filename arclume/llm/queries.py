@@ -14,7 +14,7 @@ from arclume.llm.neardup import similar_pairs
 from arclume.llm.residue import find_residue
 from arclume.llm.spam import find_spam
 from arclume.llm.vectors import similar_vectors
-from arclume.session import cut, table
+from arclume.session import cut, spread, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of both logs that hold template residue or page text instead of a prompt or a message."""
     success = table(spark, sf_dir, "success_log").select(F.lit("success_log").alias("src"), "log_id", F.col("full_prompt").alias("text"))
     failure = table(spark, sf_dir, "failure_log").select(F.lit("failure_log").alias("src"), "log_id", F.col("fail_reason").alias("text"))
-    return find_residue(success.unionByName(failure), ["src", "log_id"], "text")
+    return find_residue(spread(success.unionByName(failure)), ["src", "log_id"], "text")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
-    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return encode_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are spam."""
-    return find_spam(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
+    return find_spam(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").select("doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
