@@ -52,4 +52,6 @@ def test_contract(spark):
     assert set(entry_module.oracle_sql()) <= set(names)
     rows = entry_module.entry(spark).collect()
     assert sorted(r.method for r in rows) == ["M1", "M2", "M3"]
-    assert all(0 <= r[c] <= 1 for r in rows for c in ("frame_ap", "frame_auc", "video_auc"))
+    assert all(0 <= r[c] <= 1 for r in rows for c in ("frame_ap", "frame_auc"))
+    # null where all videos are of one class, as on the smallest tables
+    assert all(r.video_auc is None or 0 <= r.video_auc <= 1 for r in rows)
