@@ -52,7 +52,7 @@ def vector_clusters(df: DataFrame, key: str, column: str, threshold: float = 0.8
     the rows that take part; repeated vectors are members like any other. An empty
     table gives no clusters.
     """
-    links = search(df, key, [column], threshold, linked, substrings=SUBSTRINGS, foreign_blocks=FOREIGN)
+    links = search(df, key, [column], threshold, linked, substrings=SUBSTRINGS, foreign_blocks=FOREIGN).found
     found = components(links.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")))
     sizes = found.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("root")
     return found.join(sizes, "root").select(F.col("node").alias(key), F.col("root").alias("first_id"))

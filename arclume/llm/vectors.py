@@ -12,6 +12,11 @@
 3. Each vector goes to its home block and to the few blocks found. In a block all
    home vectors are compared with all others by their floats: 32-bit products
    choose, 64-bit products decide.
+4. What the index finds is true but need not be all. ``compare_all`` then compares
+   every vector with every other one, group by group, and uses what was found only
+   to leave out pairs that cannot change the result. So no bound of the index
+   decides what comes out. On 64 independent dimensions no angular bound on blocks
+   leaves out much, so this step takes time by the square of the rows.
 """
 
 from __future__ import annotations
@@ -36,6 +41,10 @@ SUBSTRINGS, SUB_BITS, TABLE_BITS = 12, 16, 5
 REACH = 256
 #: Foreign blocks a vector is sent to at most.
 FOREIGN = 5
+#: Rows of a group that is compared with every other group in one task.
+GROUP = 40_000
+#: Pairs a task holds before it keeps only what can still count.
+HELD = 2_000_000
 #: Equal vectors beyond so many are searched for through their first ``K + 1``.
 COPIES = 64
 K = 10
@@ -189,6 +198,59 @@ def nearest(home: np.ndarray, home_ids: np.ndarray, other: np.ndarray, other_ids
         yield x[keep], y[keep], exact[keep]
 
 
+def above(left: np.ndarray, right: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, row, 32-bit product) of all pairs near or above the threshold; without ``right`` each pair of ``left`` once."""
+    a = left.astype(np.float32)
+    b = a if right is None else right.astype(np.float32)
+    for p in range(0, len(a), 512):
+        for q in range(p if right is None else 0, len(b), 2048):
+            s = (a[p : p + 512] @ b[q : q + 2048].T).ravel()
+            at = np.flatnonzero(s >= threshold - SLACK)
+            if len(at):
+                r, c = np.divmod(at, min(2048, len(b) - q))
+                r, c, s = r + p, c + q, s[at]
+                if right is None:
+                    once = c > r
+                    r, c, s = r[once], c[once], s[once]
+                yield r, c, s
+
+
+def nearest_of_all(x: np.ndarray, ids: np.ndarray, n: int, limit: np.ndarray, threshold: float, k: int = K) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(id, id, cosine): of each row the ``k`` most similar of the other group, if not less similar than the row's ``limit``.
+
+    The first ``n`` rows are one group, the others the second; where there is no
+    second one, rows are compared with their own group.
+    """
+    limit, shift = limit.copy(), 0 if n == len(x) else n
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j, w = (np.concatenate(c) for c in zip(*kept, strict=True))
+        order = np.lexsort((ids[j], -w, i))
+        i, j, w = i[order], j[order], w[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        limit[i[rank == k - 1]] = np.maximum(limit[i[rank == k - 1]], w[rank == k - 1])
+        return i[rank < k], j[rank < k], w[rank < k]
+
+    held = 0
+    for i, j, s in above(x[:n], x[n:] if shift else None, threshold):
+        j = j + shift
+        near = s >= np.minimum(limit[i], limit[j]) - SLACK
+        i, j = i[near], j[near]
+        w = np.concatenate([np.einsum("ij,ij->i", x[i[p : p + 65536]], x[j[p : p + 65536]]) for p in range(0, max(len(i), 1), 65536)])
+        for a, b in ((i, j), (j, i)):
+            # limits come from products of the same rows, which may be rounded otherwise
+            keep = (w >= limit[a] - 1e-12) & (w >= threshold)
+            kept.append((a[keep], b[keep], w[keep]))
+            held += int(keep.sum())
+        if held > HELD:
+            kept = [best()]
+            held = len(kept[0][0]) // 2
+    if kept:
+        i, j, w = best()
+        yield ids[i], ids[j], w
+
+
 def merge_links(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cluster label of each of ``n`` nodes and the links used, by reciprocal nearest neighbours.
 
@@ -272,7 +334,83 @@ def _sample(df: DataFrame, columns: list[str], rows: int) -> list[np.ndarray]:
     return out
 
 
-def search(df: DataFrame, key: str, columns: list[str], threshold: float, in_block: Callable, k: int = K, substrings: int = SUBSTRINGS, foreign_blocks: int = FOREIGN) -> DataFrame:
+@dataclass
+class Search:
+    """What the index found, and what is needed to compare everything."""
+
+    found: DataFrame  # feat, id_a, id_b, w
+    copies: DataFrame  # feat, id_a, id_b, w of equal vectors that stay out of all comparisons; they are in found, too
+    slim: DataFrame  # id, v0, v1, ...
+    rows: int
+    dims: list[int | None]
+
+
+def compare_all(s: Search, state: DataFrame, kind: str, in_pair: Callable) -> DataFrame:
+    """``feat, id_a, id_b, w``: what ``in_pair`` finds in each two groups of rows, which together hold every two rows.
+
+    ``state`` (feat, id, state) says what is known of a vector, ``kind`` is its
+    type. ``in_pair`` gets the vectors of two groups, their ids, how many are of the
+    first group, their states and which of these are known.
+    """
+    groups, dims = max(1, -(-s.rows // GROUP)), s.dims
+    told = state.select("feat", "id", F.col("state").cast(kind).alias("state"), F.lit(False).alias("out"))
+    told = told.unionByName(s.copies.select("feat", F.col("id_a").alias("id"), F.lit(None).cast(kind).alias("state"), F.lit(True).alias("out")).distinct())
+    each = [s.slim.select(F.lit(f).alias("feat"), "id", F.lit(None).cast(kind).alias("state"), F.lit(False).alias("out"), F.col(f"v{f}").alias("vec")) for f, d in enumerate(dims) if d]
+    rows = reduce(DataFrame.unionByName, each, told.withColumn("vec", F.lit(None).cast("array<float>")))
+    own = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    placed = rows.withColumn("g", own).withColumn("h", other).select((F.col("feat") * groups * groups + F.least("g", "h") * groups + F.greatest("g", "h")).alias("pair"), (F.col("g") <= F.col("h")).alias("left"), "id", "state", "out", "vec")
+    # few keys of equal weight: with many more partitions than keys hardly two share one
+    parts = min(4 * len(dims) * groups * (groups + 1), 4096)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches):
+            f = t["pair"][0].as_py() // (groups * groups)
+            ids, left, out = t["id"].to_numpy(), np.asarray(t["left"]), np.asarray(t["out"])
+            at, m = matrix(t["vec"], dims[f])
+            known = np.asarray(t["vec"].is_null()) & ~out & np.asarray(t["state"].is_valid())
+            at_in = ~np.isin(ids[at], ids[out])
+            at, m = at[at_in], m[at_in]
+            order = np.argsort(~left[at], kind="stable")
+            at, m = at[order], m[order]
+            if not len(at):
+                continue
+            known_ids, states = ids[known], t["state"].filter(pa.array(known)).to_numpy()
+            sort = np.argsort(known_ids)
+            known_ids, states = known_ids[sort], states[sort]
+            to = np.searchsorted(known_ids, ids[at])
+            has = np.zeros(len(at), bool)
+            inside = to < len(known_ids)
+            has[inside] = known_ids[to[inside]] == ids[at][inside]
+            of = np.zeros(len(at), states.dtype)
+            of[has] = states[to[has]]
+            n = int(left[at].sum())
+            # a pair of one group with itself has left rows only; of two groups one may be empty
+            if n == 0 or (n == len(at) and t["pair"][0].as_py() % (groups * groups) % (groups + 1)):
+                continue
+            for x, y, w in in_pair(unit(m), ids[at], n, of, has):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), f, np.int32)), pa.array(x), pa.array(y), pa.array(w)], names=["feat", "id_a", "id_b", "w"])
+
+    return placed.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(run, "feat int, id_a long, id_b long, w double")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each value of the first column, by which they are sorted."""
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        block = b.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(block)) + 1), len(block)]
+        for p, q in zip(edges, edges[1:]):
+            if q > p:
+                if kept and kept[0].column(0)[0].as_py() != block[p]:
+                    yield pa.Table.from_batches(kept)
+                    kept = []
+                kept.append(b.slice(p, q - p))
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def search(df: DataFrame, key: str, columns: list[str], threshold: float, in_block: Callable, k: int = K, substrings: int = SUBSTRINGS, foreign_blocks: int = FOREIGN) -> Search:
     """``feat, id_a, id_b, w``: what ``in_block`` finds in the blocks of each vector column; ``feat`` is its place in ``columns``.
 
     Vectors that are null, all zero, not finite, or not of their column's usual
@@ -348,38 +486,35 @@ def search(df: DataFrame, key: str, columns: list[str], threshold: float, in_blo
     blocks = sent.select("id", "vec", F.explode(targets).alias("t")).select("t.block", "t.own", "id", "vec").repartition(parts, "block").sortWithinPartitions("block")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(own: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(own)
+        for t in _runs(batches):
             f = t["block"][0].as_py() // MAX_BLOCKS
             m = unit(matrix(t["vec"], shared.value[f].dim)[1])
             ids, home = t["id"].to_numpy(), t["own"].to_numpy()
             for x, y, w in in_block(m[home], ids[home], m[~home], ids[~home], threshold):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), f, np.int32)), pa.array(x), pa.array(y), pa.array(w)], names=["feat", "id_a", "id_b", "w"])
 
-        kept: list[pa.RecordBatch] = []
-        for b in batches:
-            block = b.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(block)) + 1), len(block)]
-            for p, q in zip(edges, edges[1:]):
-                if q > p:
-                    if kept and kept[0].column(0)[0].as_py() != block[p]:
-                        yield from done(kept)
-                        kept = []
-                    kept.append(b.slice(p, q - p))
-        if kept:
-            yield from done(kept)
-
     result = blocks.mapInArrow(work, "feat int, id_a long, id_b long, w double")
     near = heads.where(F.col("r") <= k).select("feat", "vh", F.col("id").alias("id_b"))
-    return result.unionByName(rest.join(near, ["feat", "vh"]).select("feat", F.col("id").alias("id_a"), "id_b", F.lit(1.0).alias("w")))
+    copies = rest.join(near, ["feat", "vh"]).select("feat", F.col("id").alias("id_a"), "id_b", F.lit(1.0).alias("w"))
+    return Search(result.unionByName(copies), copies, slim, rows, [m.dim if m else None for m in models])
 
 
 def similar_vectors(df: DataFrame, key: str, columns: list[str], threshold: float = 0.85) -> DataFrame:
     """``feat, id_a, id_b``: pairs of rows of which one is among the ten most similar of the other, by cosine.
 
     ``feat`` is the column's name; smaller key first; ties in similarity by key.
-    See ``search`` for the rows that take part.
+    All rows are compared; the index only says from which similarity on a pair can
+    count. See ``search`` for the rows that take part.
     """
-    got = search(df, key, columns, threshold, nearest)
+    s = search(df, key, columns, threshold, nearest)
+    # the tenth best of what the index found is at most the tenth best of all
+    tenth = s.found.groupBy("feat", F.col("id_a").alias("id")).agg(F.count("*").alias("n"), F.min("w").alias("state")).where(F.col("n") >= K)
+
+    def in_pair(x: np.ndarray, ids: np.ndarray, n: int, limit: np.ndarray, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        return nearest_of_all(x, ids, n, np.where(known, limit, threshold), threshold)
+
+    got = compare_all(s, tenth, "double", in_pair)
+    best = Window.partitionBy("feat", "id_a").orderBy(F.desc("w"), "id_b")
+    got = got.withColumn("r", F.row_number().over(best)).where(F.col("r") <= K).select("feat", "id_a", "id_b").unionByName(s.copies.select("feat", "id_a", "id_b"))
     name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("feat") + 1)
     return got.select("feat", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct().select(name.alias("feat"), "id_a", "id_b")

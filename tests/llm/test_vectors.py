@@ -141,3 +141,14 @@ def test_codes_keep_near_pairs():
     shared = (bx.reshape(-1, 4000) == by.reshape(-1, 4000)).any(0)
     assert cos.mean() > 0.9 and shared.mean() > 0.9
     assert V.radius(1.0) == 0 and V.radius(0.85) < 40
+
+
+def test_neighbours_beyond_the_foreign_blocks(spark, fixture, monkeypatch):
+    """Whatever blocks the index names, the pairs are all."""
+    monkeypatch.setattr(V, "BLOCK", 30)
+    monkeypatch.setattr(V, "GROUP", 300)
+    monkeypatch.setattr(V, "HELD", 2000)
+    monkeypatch.setattr(V.search, "__defaults__", (V.K, V.SUBSTRINGS, 1))
+    ids, x = fixture
+    got = {(a, b) for _, a, b in V.similar_vectors(frame(spark, ids, x), "clip_id", ["v"], 0.85).collect()}
+    assert got == brute_pairs(ids, x, 0.85)
