@@ -4,6 +4,8 @@ Blocks of similar vectors are built by the index of ``vectors``. Within a block
 clusters grow by reciprocal nearest neighbours on the sparse graph of links above
 the threshold (``vectors.merge_links``). Blocks overlap, and what they share joins
 their clusters: rounds of stars, each of which a few aggregations and joins make.
+Then all rows of different clusters, or of none, are compared, so that no link
+missed by the index parts a cluster.
 
 The linkage is single, not average: a cluster is defined by chains of links here,
 and average linkage would part chains that belong together.
@@ -11,11 +13,14 @@ and average linkage would part chains that belong together.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arclume.llm.vectors import linked, search
+from arclume.llm.vectors import compare_all, linked, search, unlinked
 from arclume.session import cut
 
 #: A cluster hangs on single links near the threshold, so more of the code is indexed than for a search of near neighbours.
@@ -52,8 +57,15 @@ def vector_clusters(df: DataFrame, key: str, column: str, threshold: float = 0.8
     the rows that take part; repeated vectors are members like any other. An empty
     table gives no clusters.
     """
-    links = search(df, key, [column], threshold, linked, substrings=SUBSTRINGS, foreign_blocks=FOREIGN).found
-    found = components(links.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")))
+    s = search(df, key, [column], threshold, linked, substrings=SUBSTRINGS, foreign_blocks=FOREIGN)
+    found = cut(components(s.found.select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))))
+
+    def in_pair(x: np.ndarray, ids: np.ndarray, n: int, root: np.ndarray, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        return unlinked(x, ids, n, np.where(known, root, ids), threshold)
+
+    missed = cut(compare_all(s, found.select(F.lit(0).alias("feat"), F.col("node").alias("id"), F.col("root").alias("state")), "long", in_pair).select(F.col("id_a").alias("u"), F.col("id_b").alias("v")))
+    if not missed.isEmpty():
+        found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(missed))
     sizes = found.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("root")
     return found.join(sizes, "root").select(F.col("node").alias(key), F.col("root").alias("first_id"))
 

@@ -334,6 +334,31 @@ def _sample(df: DataFrame, columns: list[str], rows: int) -> list[np.ndarray]:
     return out
 
 
+def unlinked(x: np.ndarray, ids: np.ndarray, n: int, root: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(root, root, 1): links between rows of different roots that join all roots which rows of the two groups link.
+
+    Groups as in ``nearest_of_all``.
+    """
+    shift = 0 if n == len(x) else n
+    names, node = np.unique(root, return_inverse=True)
+    label, used = np.arange(len(names)), []
+    for i, j, s in above(x[:n], x[n:] if shift else None, threshold):
+        j = j + shift
+        apart = label[node[i]] != label[node[j]]
+        i, j, s = i[apart], j[apart], s[apart]
+        near = np.flatnonzero(s < threshold + SLACK)
+        drop = near[np.einsum("ij,ij->i", x[i[near]], x[j[near]]) < threshold]
+        i, j = np.delete(i, drop), np.delete(j, drop)
+        if len(i):
+            a, b = node[i], node[j]
+            to, tree = merge_links(len(names), label[a], label[b], np.ones(len(a)))
+            label = to[label]
+            used.append((a[tree], b[tree]))
+    if used:
+        a, b = (np.concatenate(c) for c in zip(*used, strict=True))
+        yield names[a], names[b], np.ones(len(a))
+
+
 @dataclass
 class Search:
     """What the index found, and what is needed to compare everything."""

@@ -152,3 +152,13 @@ def test_neighbours_beyond_the_foreign_blocks(spark, fixture, monkeypatch):
     ids, x = fixture
     got = {(a, b) for _, a, b in V.similar_vectors(frame(spark, ids, x), "clip_id", ["v"], 0.85).collect()}
     assert got == brute_pairs(ids, x, 0.85)
+
+
+def test_clusters_beyond_the_radius(spark, fixture, monkeypatch):
+    """Links that the Hamming filter drops still join clusters."""
+    monkeypatch.setattr(V, "BLOCK", 30)
+    monkeypatch.setattr(V, "GROUP", 300)
+    monkeypatch.setattr(V, "radius", lambda threshold: 2)
+    ids, x = fixture
+    got = {r.clip_id: r.first_id for r in vector_clusters(frame(spark, ids, x), "clip_id", "v", 0.85, 3).collect()}
+    assert got == brute_clusters(ids, x, 0.85)
