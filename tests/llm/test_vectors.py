@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from arclume.llm import vectors as V
 from arclume.llm.clusters import components, describe, vector_clusters
@@ -162,3 +163,36 @@ def test_clusters_beyond_the_radius(spark, fixture, monkeypatch):
     ids, x = fixture
     got = {r.clip_id: r.first_id for r in vector_clusters(frame(spark, ids, x), "clip_id", "v", 0.85, 3).collect()}
     assert got == brute_clusters(ids, x, 0.85)
+
+
+def test_rows_beyond_the_reach(spark, monkeypatch):
+    """Rows of one bucket that are far apart in its order are found as well, however many blocks a row may go to."""
+    monkeypatch.setattr(V, "BLOCK", 30)
+    monkeypatch.setattr(V.search, "__defaults__", (V.K, V.SUBSTRINGS, 1000))
+    monkeypatch.setattr(V, "REACH", 1)
+    cloudpickle.register_pickle_by_value(V)  # or the workers would not see the patch
+    rng = np.random.default_rng(4)
+    c = rng.standard_normal((1, 16))
+    x = np.concatenate([rng.standard_normal((1500, 16)), 4 * c / np.linalg.norm(c) + 0.25 * rng.standard_normal((1500, 16))]).astype(np.float32)
+    ids = rng.permutation(3000).astype(np.int64)
+    df = spark.createDataFrame([(int(i), [float(a) for a in v]) for i, v in zip(ids, x)], "clip_id long, v array<float>")
+    try:
+        got = {(a, b) for _, a, b in V.similar_vectors(df, "clip_id", ["v"], 0.85).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(V)
+    assert got == brute_pairs(ids, x, 0.85)
+
+
+def test_held_pairs_are_bounded(fixture, monkeypatch):
+    monkeypatch.setattr(V, "HELD", 500)
+    ids, x = fixture
+    u, n = V.unit(x), 400
+    out = []
+    for rows, first in ((np.arange(n), n), (np.arange(n, len(x)), len(x) - n), (np.arange(len(x)), n)):
+        for got in V.nearest_of_all(u[rows], ids[rows], first, np.full(len(rows), 0.85), 0.85):
+            out += list(zip(*got, strict=True))
+    best = {}
+    for a, b, w in out:
+        best.setdefault(a, []).append((-w, b))
+    got = {(min(a, b), max(a, b)) for a, found in best.items() for _, b in sorted(found)[:10]}
+    assert got == brute_pairs(ids, x, 0.85)
