@@ -38,6 +38,7 @@ OFTEN = 4
 COMMON, COUNT = 3e-3, 1e-5
 REPEATED, LEXICAL, DENSE, AGAIN, SALAD = 0.3, 0.6, 0.4, 0.25, 0.0
 HALF = 0.5
+SINGLE = "k not like '% %'"
 
 
 def units(text: str) -> list[str]:
@@ -143,14 +144,14 @@ class Corpus:
         got = [math.log(self.two.get(f"{a} {b}", self.floor / 2) * self.total / (self.one.get(a, self.floor) * self.one.get(b, self.floor))) for a, b in zip(ws, ws[1:])]
         return sum(got) / len(got)
 
-    def spam(self, unit: str) -> bool:
-        """Whether a unit is made for search engines."""
+    def spam(self, unit: str, rare: frozenset[str] = frozenset()) -> bool:
+        """Whether a unit is made for search engines; ``rare`` are words of the lexicon that are too rare to be kept here."""
         ws = words(unit)
         if form(unit, ws):
             return True
         if not ws:
             return False
-        known = [w for w in ws if w in self.lexicon]
+        known = [w for w in ws if w in self.lexicon or w in rare]
         share = len(known) / len(ws)
         if share >= LEXICAL or share >= DENSE and len(ws) >= 4:
             return True
@@ -162,19 +163,19 @@ class Corpus:
             return True
         return len(ws) >= 12 and self.information(ws) < SALAD
 
-    def share(self, text: str) -> float:
+    def share(self, text: str, rare: frozenset[str] = frozenset()) -> float:
         """Share of a text's characters, blanks left out, in such units."""
         all_, bad = 0, 0
         for u in units(text):
             n = solid(u)
             all_ += n
-            if self.spam(u):
+            if self.spam(u, rare):
                 bad += n
         return bad / all_ if all_ else 0.0
 
 
-def corpus_of(df: DataFrame, text: str) -> Corpus:
-    """The counts of all texts of ``df``; what comes to the driver is bounded by 1 / COUNT entries of each kind."""
+def count_words(df: DataFrame, text: str) -> DataFrame:
+    """``k, n, d, s``: occurrences, texts and texts with a suspect unit of every word, and occurrences of every two neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,9 +185,13 @@ def corpus_of(df: DataFrame, text: str) -> Corpus:
 
     slim = df.select(F.col(f"`{text}`").cast("string").alias("t")).where("t is not null")
     counts = slim.mapInArrow(run, "k string, n long, d long, s long").groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n", "d", "s")])
-    single = ~F.col("k").contains(" ")
-    counts = cut(counts)
-    total = counts.where(single).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return cut(counts)
+
+
+def corpus_of(df: DataFrame, text: str, counts: DataFrame | None = None) -> Corpus:
+    """The counts of all texts of ``df``; what comes to the driver is bounded by 1 / COUNT entries of each kind."""
+    counts = count_words(df, text) if counts is None else counts
+    total = counts.where(SINGLE).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     often = counts.where(F.col("n") >= max(3, total * COUNT)).toArrow().to_pylist()
     single_words = [r for r in often if " " not in r["k"]]
     return Corpus(total, {r["k"]: r["n"] for r in single_words}, {r["k"]: r["n"] for r in often if " " in r["k"]}, {r["k"]: r["d"] for r in single_words}, {r["k"]: r["s"] for r in single_words})
@@ -198,13 +203,26 @@ def find_spam(df: DataFrame, key: str, text: str) -> DataFrame:
     Null, empty and blank texts are none. Each row is judged whole, by itself and
     the counts of the corpus; repeated rows are judged alike. An empty table gives no rows.
     """
-    corpus = df.sparkSession.sparkContext.broadcast(corpus_of(df, text))
+    counts = count_words(df, text)
+    corpus = df.sparkSession.sparkContext.broadcast(corpus_of(df, text, counts))
     key_type = df.schema[key].dataType.simpleString()
     slim = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).where("t is not null")
+    slim = slim.withColumn("h", F.sha2("t", 256))
+
+    # words of the lexicon that are too rare for the driver stay a table; texts get theirs by a join
+    rare = counts.where(SINGLE).where((F.col("n") < corpus.value.floor) & (F.col("k") != "0") & (F.col("s") >= F.greatest(F.lit(3.0), 0.6 * F.col("d")))).select(F.col("k").alias("w"))
+
+    def uncounted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(h, w) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w in {w for u in units(t) for w in words(u)} if w not in corpus.value.one]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([w for _, w in found], pa.string())], names=["h", "w"])
+
+    held = slim.select("h", "t").mapInArrow(uncounted, "h string, w string").join(rare, "w").groupBy("h").agg(F.collect_set("w").alias("rare"))
+    slim = slim.withColumn("rare", F.array().cast("array<string>")) if rare.isEmpty() else slim.join(held, "h", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            share = pa.array([corpus.value.share(t) for t in b.column(1).to_pylist()], pa.float64())
+            share = pa.array([corpus.value.share(t, frozenset(r or ())) for t, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist())], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), share], names=["k", "share"])
 
-    return slim.mapInArrow(run, f"k {key_type}, share double").where(F.col("share") > HALF).toDF(key, "share")
+    return slim.select("k", "t", "rare").mapInArrow(run, f"k {key_type}, share double").where(F.col("share") > HALF).toDF(key, "share")

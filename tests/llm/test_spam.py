@@ -58,3 +58,10 @@ def test_forms():
     assert not form("The note of https://a.example/x says that nothing was found here.", words("The note of says that nothing was found here"))
     assert repeated(words("Clip 30 and clip 449 overlap by 33 frames"), frozenset()) == (0, 0)
     assert repeated([], frozenset()) == (0, 0)
+
+
+def test_phrase_that_is_rare_in_a_large_corpus(spark):
+    rows = [NOTES[0] * 4000] * 12 + [f"{w} zorvex lamp, zorvex lamp shop" for w in ("buy", "get", "find")]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert corpus_of(df, "text").floor > 6
+    assert {r.doc_id for r in find_spam(df, "doc_id", "text").collect()} == {12, 13, 14}
