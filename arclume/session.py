@@ -27,17 +27,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder.
 
     The folder named by ``spark.checkpoint.dir`` is used wherever it is set.
-    Only a session without it (a local test) gets a temporary folder.
+    Only a local session without it (a test) gets a temporary folder; on a cluster
+    other machines could not read one, so there a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arclume-checkpoint-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not is_local(sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="arclume-checkpoint-")
     sc.setCheckpointDir(named)
     return named
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arclume.operators.relational import upsert
-from arclume.session import cut
 
 
 def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
@@ -24,15 +23,36 @@ def write_features(df: DataFrame, path: str, by: list[str]) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def upsert_table(news: DataFrame, path: str, key: list[str], order: str) -> None:
-    """Rows of ``news`` replace those of the same key in the table at ``path``; a repeated call changes nothing."""
+    """Rows of ``news`` replace those of the same key in the table at ``path``; a repeated call changes nothing.
+
+    Only a missing path counts as an empty table; any other failure to read is
+    raised. The new table is written beside the old one and takes its place by
+    renaming, so a crash leaves the old table at ``path`` or at ``path + ".old"``,
+    from where the next call takes it up.
+    """
     spark = news.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except Exception:  # the table is not there yet
-        old = spark.createDataFrame([], news.schema)
-    # read whole before it is replaced
-    cut(upsert(old, news, key, order)).write.mode("overwrite").parquet(path)
+    fs, at = _folder(spark, path)
+    _, beside = _folder(spark, path + ".new")
+    _, former = _folder(spark, path + ".old")
+    if fs.exists(former):
+        if fs.exists(at):
+            fs.delete(former, True)  # the swap ended, its last step did not
+        else:
+            fs.rename(former, at)
+    old = spark.read.parquet(path) if fs.exists(at) else spark.createDataFrame([], news.schema)
+    upsert(old, news, key, order).write.mode("overwrite").parquet(path + ".new")
+    if fs.exists(at) and not fs.rename(at, former):
+        raise OSError(f"{path} cannot be renamed")
+    if not fs.rename(beside, at):
+        raise OSError(f"{path}.new cannot be renamed")
+    fs.delete(former, True)
 
 
 def split_unreadable(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:

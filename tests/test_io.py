@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from arclume.sources import readers, writers
@@ -34,6 +35,15 @@ def test_sinks(spark, tmp_path):
     writers.upsert_table(spark.createDataFrame([("a", 2, "z")], "k string, t int, v string"), p, ["k"], "t")
     writers.upsert_table(spark.createDataFrame([("a", 2, "z")], "k string, t int, v string"), p, ["k"], "t")
     assert sorted(tuple(r) for r in spark.read.parquet(p).collect()) == [("a", 2, "z"), ("b", 1, "y")]
+    # a table that cannot be read is left as it is, and an unfinished swap is taken up
+    (tmp_path / "index" / "part-broken.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        writers.upsert_table(a, p, ["k"], "t")
+    (tmp_path / "index" / "part-broken.parquet").unlink()
+    (tmp_path / "index").rename(tmp_path / "index.old")
+    writers.upsert_table(a, p, ["k"], "t")
+    assert sorted(tuple(r) for r in spark.read.parquet(p).collect()) == [("a", 1, "x"), ("b", 1, "y")]
+    assert not (tmp_path / "index.old").exists() and not (tmp_path / "index.new").exists()
     for _ in range(2):
         writers.write_csv(a, str(tmp_path / "log"), append=True)
     assert spark.read.csv(str(tmp_path / "log"), header=True).count() == 4
@@ -75,3 +85,9 @@ def test_workers(spark):
     assert [r.v for r in workers.complete(chunks, "v", "c", "n").collect()] == ["u"]
     tries = spark.createDataFrame([("l", i, i in (1, 2, 4)) for i in range(7)], "l string, i int, bad boolean")
     assert workers.until_open(tries, "l", ["i"], F.col("bad")).count() == 5
+
+
+def test_checkpoint_folder():
+    from arclume.session import is_local
+
+    assert is_local("local") and is_local("local[4]") and not is_local("local-cluster[3,2,3000]") and not is_local("yarn")
