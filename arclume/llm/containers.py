@@ -81,7 +81,8 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
     Equal sizes are told apart by the key and, for repeated keys, arbitrarily.
     """
     k, n = F.col("k"), F.col("n")
-    base = items.select(F.col(f"`{key}`").alias("k"), F.greatest(F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)), F.lit(0)).alias("size"))
+    # sizes may come from a tokenizer: made once, read twice
+    base = cut(items.select(F.col(f"`{key}`").alias("k"), F.greatest(F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)), F.lit(0)).alias("size")))
     empty = base.where("size = 0").select("k", F.lit(1).alias("part_no"), F.lit(None).cast("long").alias("container_id"), F.lit(0).cast("long").alias("start"), F.lit(0).alias("n"))
     parts = base.where("size > 0").select("k", "size", F.explode(F.sequence(F.lit(1), F.ceil(F.col("size") / capacity).cast("int"))).alias("part_no"))
     start = (F.col("part_no").cast("long") - 1) * capacity
