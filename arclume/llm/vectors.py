@@ -4,19 +4,23 @@
    say where a vector's home block is, and iteratively quantised rotations, whose
    signs are its binary code.
 2. The code is split into substrings and each of them is indexed: rows are hashed
-   by substring and sorted. Two codes within a Hamming radius below the number of
-   substrings share at least one of them (pigeonhole), and most pairs beyond it do
-   as well. Rows of one substring value are compared by XOR and population count.
-   Only codes travel in this step. Its result says which other blocks hold a
-   vector's neighbours.
-3. Each vector goes to its home block and to the few blocks found. In a block all
-   home vectors are compared with all others by their floats: 32-bit products
-   choose, 64-bit products decide.
-4. What the index finds is true but need not be all. ``compare_all`` then compares
-   every vector with every other one, group by group, and uses what was found only
-   to leave out pairs that cannot change the result. So no bound of the index
-   decides what comes out. On 64 independent dimensions no angular bound on blocks
-   leaves out much, so this step takes time by the square of the rows.
+   by substring and sorted. Two codes that differ in fewer bits than there are
+   substrings share one of them (pigeonhole), so a probe of its own value in each
+   finds every code within that radius, without flips; there are so many substrings
+   that codes of vectors at the similarity threshold share one but for a stated
+   chance. All rows of one substring value are compared by XOR and population count,
+   however many they are; values that the sample shows to be frequent are compared
+   chunk by chunk in several tasks. Only codes travel in this step. Its result says
+   which other blocks hold codes within the radius of a vector's.
+3. Each vector goes to its home block and to all blocks found. In a block all home
+   vectors are compared with all others by their floats: 32-bit products choose,
+   64-bit products decide. Blocks of many rows are split into cells, a part of the
+   queries against a part of the others each, and the best of the cells are merged.
+
+What is missed are neighbours whose code lies beyond the radius or shares no
+substring, while none of their block is found. Where that is not enough,
+``exact=True`` has ``compare_all`` compare every vector with every other one
+afterwards, with what was found as limits; its time grows by the square of the rows.
 """
 
 from __future__ import annotations
@@ -33,14 +37,14 @@ from pyspark.sql.window import Window
 
 #: Rows of the sample the model is fitted on; at most this many, whatever the table holds.
 SAMPLE = 16_000
-#: Rows a home block should hold, and the most centres there are.
-BLOCK, MAX_BLOCKS = 3_000, 16_384
-#: Substrings of a code at least, and the greatest length of one in bits; there may be ``1 << TABLE_BITS``.
-SUBSTRINGS, SUB_BITS, TABLE_BITS = 12, 16, 5
-#: Rows of one substring value that a row is compared with, in the order of the rest of the code.
-REACH = 256
-#: Foreign blocks a vector is sent to at most.
-FOREIGN = 5
+#: Rows a home block should hold, and the most centres there are; where blocks grow beyond ``CELL`` rows they are split.
+BLOCK, MAX_BLOCKS, CELL = 3_000, 16_384, 16_384
+#: Rows that a substring value holds on average at most, and rows of one value that a task compares.
+BUCKET, CHUNK = 512, 65_536
+#: Bits of a code that are compared.
+CODE = 128
+#: The chance that two vectors at the threshold share no substring, and deviations of their Hamming distance that the radius allows.
+MISS, SIGMAS = 0.01, 2.5
 #: Rows of a group that is compared with every other group in one task.
 GROUP = 40_000
 #: Pairs a task holds before it keeps only what can still count.
@@ -49,6 +53,8 @@ HELD = 2_000_000
 COPIES = 64
 K = 10
 SLACK = 1e-4
+#: Decimals to which cosines are rounded before they are ranked, so that equal directions tie whatever the order of their sums.
+DIGITS = 12
 
 
 @dataclass
@@ -60,6 +66,8 @@ class Model:
     mean: np.ndarray
     rotations: np.ndarray
     bits: int  # of a substring, by the size of the table
+    hot: dict[int, int]  # chunks of the substring values that are split
+    cells: np.ndarray  # parts of each block
 
 
 def matrix(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +111,25 @@ def _itq(v: np.ndarray, rng: np.random.Generator, rounds: int = 15) -> np.ndarra
     return r
 
 
-def fit(sample: np.ndarray, rows: int, substrings: int = SUBSTRINGS, seed: int = 7) -> Model:
+def differing(threshold: float) -> float:
+    """The share of code bits in which two vectors at the threshold differ."""
+    return float(np.arccos(np.clip(threshold, -1, 1)) / np.pi)
+
+
+def radius(threshold: float, sigmas: float = SIGMAS) -> int:
+    """The Hamming distance of ``CODE``-bit codes that few pairs at the threshold exceed."""
+    p = differing(threshold)
+    return int(np.ceil(CODE * p + sigmas * np.sqrt(CODE * p * (1 - p))))
+
+
+def substrings(rows: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
+    """(how many, of how many bits): as long as ``BUCKET`` asks for, as many as ``miss`` asks for."""
+    bits = int(np.clip(np.ceil(np.log2(max(rows, 2) / BUCKET)), 4, 30))
+    share = (1 - differing(threshold)) ** bits
+    return max(2, int(np.ceil(np.log(miss) / np.log(1 - min(share, 0.999))))), bits
+
+
+def fit(sample: np.ndarray, rows: int, threshold: float = 0.85, miss: float = MISS, seed: int = 7) -> Model:
     """The model of a sample of unit vectors of a table with ``rows`` rows."""
     rng = np.random.default_rng(seed)
     x = sample.astype(np.float32)
@@ -111,10 +137,19 @@ def fit(sample: np.ndarray, rows: int, substrings: int = SUBSTRINGS, seed: int =
     k = int(min(MAX_BLOCKS, max(1, -(-rows // BLOCK))))
     mean = x.mean(0)
     v = (x[:4096] - mean).astype(np.float64)
-    need = -(-substrings * SUB_BITS // dim)
-    rotations = np.concatenate([_itq(v, rng) for _ in range(need)], axis=1)[:, : substrings * SUB_BITS].astype(np.float32)
-    bits = int(np.clip(np.ceil(np.log2(max(rows, 2) / 24)), 6, SUB_BITS))
-    return Model(dim, _kmeans(x, k, rng), mean, rotations, bits)
+    count, bits = substrings(rows, threshold, miss)
+    length = max(CODE, count * bits)
+    rotations = np.concatenate([_itq(v, rng) for _ in range(-(-length // dim))], axis=1)[:, :length].astype(np.float32)
+    model = Model(dim, _kmeans(x, k, rng), mean, rotations, bits, {}, np.ones(k, np.int64))
+    # the sample says what has to be split; that decides how the work is spread, not what is found
+    home, code = place(model, x)
+    each = rows / len(x)
+    model.cells = np.maximum(1, np.ceil(np.bincount(home, minlength=k) * each / CELL)).astype(np.int64)
+    for j, value in enumerate(_values(model, code)):
+        at, n = np.unique(value, return_counts=True)
+        often = n * each > CHUNK
+        model.hot |= {int(b): int(np.ceil(c * each / CHUNK)) for b, c in zip(at[often], n[often])}
+    return model
 
 
 def place(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,64 +159,93 @@ def place(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return home, (x - model.mean) @ model.rotations >= 0
 
 
+def _values(model: Model, code: np.ndarray) -> list[np.ndarray]:
+    """The value of each substring, with its place above the bits."""
+    weights = 1 << np.arange(model.bits, dtype=np.int64)
+    return [code[:, j * model.bits : (j + 1) * model.bits] @ weights + (j << 30) for j in range(code.shape[1] // model.bits)]
+
+
 def _pack(bits: np.ndarray) -> np.ndarray:
     """(rows, n / 64) 64-bit words of a matrix of n bits."""
     return np.packbits(bits, axis=1).view(">u8").astype(np.uint64).reshape(len(bits), -1)
 
 
 def index_rows(feat: int, model: Model, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One row per vector and substring: bucket, two words of code, id, home block."""
-    home, bits = place(model, x)
-    words = _pack(bits[:, :128]).view(np.int64)
-    weights = 1 << np.arange(model.bits, dtype=np.int64)
-    own = (home + feat * MAX_BLOCKS).astype(np.int32)
-    tables = bits.shape[1] // SUB_BITS
-    bucket = [bits[:, j * SUB_BITS : j * SUB_BITS + model.bits] @ weights + (j << SUB_BITS) + (feat << (SUB_BITS + TABLE_BITS)) for j in range(tables)]
-    # rows of a bucket are ordered by the second word, which does not hold the substring
-    swap = [j * SUB_BITS // 64 % 2 for j in range(tables)]
-    a = np.concatenate([words[:, s] for s in swap])
-    b = np.concatenate([words[:, 1 - s] for s in swap])
-    return np.concatenate(bucket).astype(np.int32), a, b, np.tile(ids, tables), np.tile(own, tables)
-
+    """One row per vector and substring: bucket, side, two words of code, id, home block.
 
-def radius(threshold: float) -> int:
-    """The Hamming distance of 128-bit codes that few pairs at the threshold exceed."""
-    p = float(np.arccos(np.clip(threshold, -1, 1)) / np.pi)
-    return int(np.ceil(128 * p + 2.5 * np.sqrt(128 * p * (1 - p))))
+    A split bucket's row goes to every pair of chunks that its own one is in; side 0
+    is compared with side 1, and side 2 with its own.
+    """
+    home, code = place(model, x)
+    words = _pack(code[:, :CODE]).view(np.int64)
+    own = (home + feat * MAX_BLOCKS).astype(np.int32)
+    bucket, side, at = [], [], []
+    every = np.arange(len(ids))
+    hot = np.array(sorted(model.hot), np.int64)
+    for value in _values(model, code):
+        split = np.isin(value, hot) if len(hot) else np.zeros(len(value), bool)
+        plain = every[~split]
+        bucket.append(value[plain] << 20)
+        side.append(np.full(len(plain), 2, np.int8))
+        at.append(plain)
+        for b in np.unique(value[split]):
+            rows, n = every[value == b], model.hot[int(b)]
+            chunk = (mix(ids[rows].view(np.uint64)) % np.uint64(n)).astype(np.int64)
+            for other in range(n):
+                low, high = np.minimum(chunk, other), np.maximum(chunk, other)
+                bucket.append((b << 20) + low * n + high + 1)
+                side.append(np.where(chunk == other, 2, chunk > other).astype(np.int8))
+                at.append(rows)
+    to = np.concatenate(at)
+    return np.concatenate(bucket) + (feat << 56), np.concatenate(side), words[to, 0], words[to, 1], ids[to], own[to]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A finalising mix of 64-bit values."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(29))
+
+
+def _once(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    first = np.ones(len(x), bool)
+    first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return x[first], y[first]
 
 
-def compare(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray, home: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, block, distance): which foreign blocks hold codes within ``most`` of a row's; rows are sorted by bucket."""
-    out = []
-    at = np.arange(len(bucket) - 1)
-    for d in range(1, REACH + 1):
+def compare(bucket: np.ndarray, side: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray, home: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(id, block): which foreign blocks hold codes within ``most`` of a row's; rows are sorted by bucket, all rows of a bucket are compared."""
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int32))]
+    held, at, d = 0, np.arange(len(bucket)), 0
+    while len(at):
+        d += 1
         at = at[at + d < len(bucket)]
         at = at[bucket[at] == bucket[at + d]]
-        if not len(at):
-            break
         to = at + d
-        h = np.bitwise_count(a[at] ^ a[to]) + np.bitwise_count(b[at] ^ b[to])
-        hit = (h <= most) & (home[at] != home[to])
-        i, j, h = at[hit], to[hit], h[hit]
-        out += [(ids[j], home[i], h), (ids[i], home[j], h)]
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-    x, y, h = (np.concatenate(c) for c in zip(*out, strict=True))
-    order = np.lexsort((h, y, x))
-    x, y, h = x[order], y[order], h[order].astype(np.int32)
-    first = np.ones(len(x), bool)
-    first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    return x[first], y[first], h[first]
+        met = (home[at] != home[to]) & ((side[at] == 2) | (side[at] != side[to]))
+        i, j = at[met], to[met]
+        near = np.bitwise_count(a[i] ^ a[j]) + np.bitwise_count(b[i] ^ b[j]) <= most
+        i, j = i[near], j[near]
+        out += [(ids[j], home[i]), (ids[i], home[j])]
+        held += 2 * len(i)
+        if held > HELD:
+            out = [_once(out)]
+            held = len(out[0][0])
+            held = 0 if held > HELD // 2 else held
+    return _once(out)
 
 
-def nearest(home: np.ndarray, home_ids: np.ndarray, other: np.ndarray, other_ids: np.ndarray, threshold: float, k: int = K) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(id, id, cosine): of each home vector the ``k`` most similar others, ties by id, above the threshold."""
-    everything, all_ids = np.concatenate([home, other]), np.concatenate([home_ids, other_ids])
+def nearest(home: np.ndarray, home_ids: np.ndarray, other: np.ndarray, other_ids: np.ndarray, threshold: float, inner: bool = True, k: int = K) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(id, id, cosine): of each home vector the ``k`` most similar others, ties by id, above the threshold; ``inner``: home vectors are compared with one another as well."""
+    everything, all_ids = (np.concatenate([home, other]), np.concatenate([home_ids, other_ids])) if inner else (other, other_ids)
     right = np.ascontiguousarray(everything.astype(np.float32).T)
     for i in range(0, len(home), 256):
         s = home[i : i + 256].astype(np.float32) @ right
         n = len(s)
-        s[np.arange(n), np.arange(i, i + n)] = -2
+        if inner:
+            s[np.arange(n), np.arange(i, i + n)] = -2
         limit = np.full(n, threshold - SLACK, np.float32)
         full = np.flatnonzero((s >= threshold - SLACK).sum(1) > k)
         if len(full):
@@ -190,6 +254,7 @@ def nearest(home: np.ndarray, home_ids: np.ndarray, other: np.ndarray, other_ids
         if not len(r):
             continue
         exact = np.concatenate([np.einsum("ij,ij->i", home[r[p : p + 65536] + i], everything[c[p : p + 65536]]) for p in range(0, len(r), 65536)])
+        exact = np.round(exact, DIGITS)
         x, y = home_ids[r + i], all_ids[c]
         order = np.lexsort((y, -exact, r))
         r, x, y, exact = r[order], x[order], y[order], exact[order]
@@ -237,7 +302,7 @@ def nearest_of_all(x: np.ndarray, ids: np.ndarray, n: int, limit: np.ndarray, th
         j = j + shift
         near = s >= np.minimum(limit[i], limit[j]) - SLACK
         i, j = i[near], j[near]
-        w = np.concatenate([np.einsum("ij,ij->i", x[i[p : p + 65536]], x[j[p : p + 65536]]) for p in range(0, max(len(i), 1), 65536)])
+        w = np.round(np.concatenate([np.einsum("ij,ij->i", x[i[p : p + 65536]], x[j[p : p + 65536]]) for p in range(0, max(len(i), 1), 65536)]), DIGITS)
         for a, b in ((i, j), (j, i)):
             # limits come from products of the same rows, which may be rounded otherwise
             keep = (w >= limit[a] - 1e-12) & (w >= threshold)
@@ -287,7 +352,7 @@ def merge_links(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray) -> tuple[np
     return label, np.concatenate(used) if used else np.zeros(0, np.int64)
 
 
-def linked(home: np.ndarray, home_ids: np.ndarray, other: np.ndarray, other_ids: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def linked(home: np.ndarray, home_ids: np.ndarray, other: np.ndarray, other_ids: np.ndarray, threshold: float, inner: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(id, root, 1): the cluster of each row of a block that is not its smallest id, named by that id."""
     everything, all_ids = np.concatenate([home, other]), np.concatenate([home_ids, other_ids])
     right = np.ascontiguousarray(everything.astype(np.float32).T)
@@ -368,6 +433,7 @@ class Search:
     slim: DataFrame  # id, v0, v1, ...
     rows: int
     dims: list[int | None]
+    split: bool  # whether blocks are split, so that a row's best come from several tasks
 
 
 def compare_all(s: Search, state: DataFrame, kind: str, in_pair: Callable) -> DataFrame:
@@ -435,7 +501,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(kept)
 
 
-def search(df: DataFrame, key: str, columns: list[str], threshold: float, in_block: Callable, k: int = K, substrings: int = SUBSTRINGS, foreign_blocks: int = FOREIGN) -> Search:
+def search(df: DataFrame, key: str, columns: list[str], threshold: float, in_block: Callable, k: int = K, miss: float = MISS, sigmas: float = SIGMAS) -> Search:
     """``feat, id_a, id_b, w``: what ``in_block`` finds in the blocks of each vector column; ``feat`` is its place in ``columns``.
 
     Vectors that are null, all zero, not finite, or not of their column's usual
@@ -446,10 +512,11 @@ def search(df: DataFrame, key: str, columns: list[str], threshold: float, in_blo
     spark = df.sparkSession
     slim = df.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("id"), *[F.col(f"`{c}`").cast("array<float>").alias(f"v{i}") for i, c in enumerate(columns)])
     rows = slim.count()
-    models = [fit(s, rows, substrings) if len(s) else None for s in _sample(slim, [f"v{i}" for i in range(len(columns))], rows)]
-    # bounded: MAX_BLOCKS centres and a few square matrices a column
+    models = [fit(s, rows, threshold, miss) if len(s) else None for s in _sample(slim, [f"v{i}" for i in range(len(columns))], rows)]
+    # bounded: MAX_BLOCKS centres, a few square matrices and fewer split values than rows of the sample for each substring
     shared = spark.sparkContext.broadcast(models)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most, held, blocks_per_column = radius(threshold, sigmas), HELD, MAX_BLOCKS
 
     def usable(b: pa.RecordBatch) -> Iterator[tuple[int, Model, np.ndarray, np.ndarray, np.ndarray]]:
         for f, model in enumerate(shared.value):
@@ -461,37 +528,41 @@ def search(df: DataFrame, key: str, columns: list[str], threshold: float, in_blo
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for f, model, _, ids, m in usable(b):
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in index_rows(f, model, ids, unit(m))], names=["bucket", "a", "b", "id", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in index_rows(f, model, ids, unit(m))], names=["bucket", "side", "a", "b", "id", "home"])
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for f, model, at, ids, m in usable(b):
                 home, _ = place(model, unit(m))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), f, np.int32)), pa.array(ids), pa.array((home + f * MAX_BLOCKS).astype(np.int32)), b.column(1 + f).take(pa.array(at))], names=["feat", "id", "home", "vec"])
-
-    most = radius(threshold)
+                cells = model.cells[home]
+                own = (mix(ids.view(np.uint64)) % cells.astype(np.uint64)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), f, np.int32)), pa.array(ids), pa.array((home + f * blocks_per_column).astype(np.int32)), pa.array(own.astype(np.int32)), b.column(1 + f).take(pa.array(at))], names=["feat", "id", "home", "cell", "vec"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
+        kept: list[np.ndarray] | None = None
+
+        def met(now: list[np.ndarray]) -> pa.RecordBatch:
+            x, y = compare(now[0], now[1], now[2].view(np.uint64), now[3].view(np.uint64), now[4], now[5], most)
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y.astype(np.int32))], names=["id", "block"])
+
         for b in batches:
-            now = [b.column(n).to_numpy() for n in ("bucket", "a", "b", "id", "home")]
-            if not len(now[0]):
-                continue
-            if kept:
+            now = [c.to_numpy() for c in b.columns]
+            if kept is not None:
                 now = [np.concatenate(p) for p in zip(kept, now, strict=True)]
-            # the last bucket may go on in the next batch, which sees its last rows again
-            tail = max(int(np.searchsorted(now[0], now[0][-1])), len(now[0]) - REACH)
-            kept = [x[tail:].copy() for x in now]
-            x, y, h = compare(now[0], now[1].view(np.uint64), now[2].view(np.uint64), now[3], now[4], most)
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y.astype(np.int32)), pa.array(h.astype(np.int32))], names=["id", "block", "h"])
-
-    # one index row per vector and substring; the second word orders the rows of a bucket
-    index = slim.mapInArrow(codes, "bucket int, a long, b long, id long, home int")
-    found = index.repartition(parts, "bucket").sortWithinPartitions("bucket", "b").mapInArrow(probe, "id long, block int, h int")
+            # the last bucket may go on in the next batch
+            tail = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+            if tail and len(now[0]) > held // 20:
+                yield met([x[:tail] for x in now])
+                now = [x[tail:].copy() for x in now]
+            kept = now
+        if kept is not None and len(kept[0]):
+            yield met(kept)
+
+    # one index row per vector and substring
+    index = slim.mapInArrow(codes, "bucket long, side byte, a long, b long, id long, home int")
+    found = index.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(probe, "id long, block int")
     feat = F.floor(F.col("block") / MAX_BLOCKS).cast("int").alias("feat")
-    # a row meets at most substrings * 2 * REACH others, so its list is short
-    closest = F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("h", "block"))), lambda s: s["block"])), 1, foreign_blocks)
-    foreign = found.groupBy(feat, "id").agg(closest.alias("foreign"))
+    foreign = found.groupBy(feat, "id").agg(F.collect_set("block").alias("foreign"))
 
     # more equal vectors than COPIES: all but the first k + 1 stay out of the blocks
     def sound(v: str):  # noqa: ANN202
@@ -504,42 +575,81 @@ def search(df: DataFrame, key: str, columns: list[str], threshold: float, in_blo
     heads = crowd.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
     rest = crowd.join(heads.select("feat", "id"), ["feat", "id"], "left_anti")
 
-    vectors = slim.mapInArrow(homes, "feat int, id long, home int, vec array<float>")
+    vectors = slim.mapInArrow(homes, "feat int, id long, home int, cell int, vec array<float>")
     sent = vectors.join(foreign.unionByName(rest.select("feat", "id", F.array(F.lit(-1)).alias("foreign"))), ["feat", "id"], "left")
     sent = sent.where(F.col("foreign").isNull() | ~F.array_contains("foreign", -1))
     targets = F.concat(F.array(F.struct(F.col("home").alias("block"), F.lit(True).alias("own"))), F.transform(F.coalesce("foreign", F.array().cast("array<int>")), lambda t: F.struct(t.alias("block"), F.lit(False).alias("own"))))
-    blocks = sent.select("id", "vec", F.explode(targets).alias("t")).select("t.block", "t.own", "id", "vec").repartition(parts, "block").sortWithinPartitions("block")
+    sent = sent.select("id", "vec", "cell", F.explode(targets).alias("t")).select("t.block", "t.own", "cell", "id", "vec")
+
+    split = any(m is not None and (m.cells > 1).any() for m in models)
+
+    def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In a split block queries of cell i meet all rows of cell j in the task (i, j); a row that is both there comes once, as a query."""
+        for b in batches:
+            block, own, cell, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            n = np.ones(len(block), np.int64)
+            for f, model in enumerate(shared.value):
+                here = block // blocks_per_column == f
+                if model is not None:
+                    n[here] = model.cells[block[here] % blocks_per_column]
+            cell = np.where(own, cell, (mix(ids.view(np.uint64)) % n.astype(np.uint64)).astype(np.int64))
+            at, query, task = [], [], []
+            for many in np.unique(n):
+                rows = np.flatnonzero(n == many)
+                for k in range(many):
+                    at.append(rows)
+                    task.append(k * many + cell[rows])
+                    query.append(own[rows] & (cell[rows] == k))
+                    asks = rows[own[rows] & (cell[rows] != k)]
+                    at.append(asks)
+                    task.append(cell[asks] * many + k)
+                    query.append(np.ones(len(asks), bool))
+            at, query, task = np.concatenate(at), np.concatenate(query), np.concatenate(task)
+            yield pa.RecordBatch.from_arrays([pa.array(block[at].astype(np.int64) * (1 << 32) + task), pa.array(query), pa.array(ids[at]), b.column(4).take(pa.array(at))], names=["block", "own", "id", "vec"])
+
+    ready = sent.select("block", "own", "cell", "id", "vec")
+    placed = ready.mapInArrow(to_cells, "block long, own boolean, id long, vec array<float>") if split else ready.select((F.col("block").cast("long") * (1 << 32)).alias("block"), "own", "id", "vec")
+    blocks = placed.repartition(parts, "block").sortWithinPartitions("block")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches):
-            f = t["block"][0].as_py() // MAX_BLOCKS
+            block, task = divmod(t["block"][0].as_py(), 1 << 32)
+            f, at = divmod(block, blocks_per_column)
+            # off the diagonal of a split block queries have met one another elsewhere
+            inner = task % (int(shared.value[f].cells[at]) + 1) == 0
             m = unit(matrix(t["vec"], shared.value[f].dim)[1])
             ids, home = t["id"].to_numpy(), t["own"].to_numpy()
-            for x, y, w in in_block(m[home], ids[home], m[~home], ids[~home], threshold):
+            for x, y, w in in_block(m[home], ids[home], m[~home], ids[~home], threshold, inner):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), f, np.int32)), pa.array(x), pa.array(y), pa.array(w)], names=["feat", "id_a", "id_b", "w"])
 
     result = blocks.mapInArrow(work, "feat int, id_a long, id_b long, w double")
     near = heads.where(F.col("r") <= k).select("feat", "vh", F.col("id").alias("id_b"))
     copies = rest.join(near, ["feat", "vh"]).select("feat", F.col("id").alias("id_a"), "id_b", F.lit(1.0).alias("w"))
-    return Search(result.unionByName(copies), copies, slim, rows, [m.dim if m else None for m in models])
+    return Search(result.unionByName(copies), copies, slim, rows, [m.dim if m else None for m in models], split)
 
 
-def similar_vectors(df: DataFrame, key: str, columns: list[str], threshold: float = 0.85) -> DataFrame:
+def similar_vectors(df: DataFrame, key: str, columns: list[str], threshold: float = 0.85, exact: bool = False) -> DataFrame:
     """``feat, id_a, id_b``: pairs of rows of which one is among the ten most similar of the other, by cosine.
 
-    ``feat`` is the column's name; smaller key first; ties in similarity by key.
-    All rows are compared; the index only says from which similarity on a pair can
-    count. See ``search`` for the rows that take part.
+    ``feat`` is the column's name; smaller key first; ties in similarity, rounded to
+    ``DIGITS`` decimals, by key. Every row is indexed and searched for; what the index
+    may miss is said above. ``exact`` compares all rows, where the index only says
+    from which similarity on a pair can count. See ``search`` for the rows that take part.
     """
     s = search(df, key, columns, threshold, nearest)
-    # the tenth best of what the index found is at most the tenth best of all
-    tenth = s.found.groupBy("feat", F.col("id_a").alias("id")).agg(F.count("*").alias("n"), F.min("w").alias("state")).where(F.col("n") >= K)
-
-    def in_pair(x: np.ndarray, ids: np.ndarray, n: int, limit: np.ndarray, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        return nearest_of_all(x, ids, n, np.where(known, limit, threshold), threshold)
-
-    got = compare_all(s, tenth, "double", in_pair)
     best = Window.partitionBy("feat", "id_a").orderBy(F.desc("w"), "id_b")
-    got = got.withColumn("r", F.row_number().over(best)).where(F.col("r") <= K).select("feat", "id_a", "id_b").unionByName(s.copies.select("feat", "id_a", "id_b"))
+    if exact:
+        # the tenth best of what the index found is at most the tenth best of all
+        top = s.found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= K) if s.split else s.found
+        tenth = top.groupBy("feat", F.col("id_a").alias("id")).agg(F.count("*").alias("n"), F.min("w").alias("state")).where(F.col("n") >= K)
+
+        def in_pair(x: np.ndarray, ids: np.ndarray, n: int, limit: np.ndarray, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            return nearest_of_all(x, ids, n, np.where(known, limit, threshold), threshold)
+
+        got = compare_all(s, tenth, "double", in_pair)
+        got = got.withColumn("r", F.row_number().over(best)).where(F.col("r") <= K).select("feat", "id_a", "id_b").unionByName(s.copies.select("feat", "id_a", "id_b"))
+    else:
+        # a vector is a query of its home block only, so where no block is split its ten are complete
+        got = s.found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= K) if s.split else s.found
     name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("feat") + 1)
     return got.select("feat", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct().select(name.alias("feat"), "id_a", "id_b")
