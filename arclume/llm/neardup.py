@@ -4,8 +4,9 @@ Word sets are min-hashed. Bands of min-hashes propose pairs; each band row carri
 an odd sketch, the parity bitmap into which the min-hash samples are folded. The
 population count of the XOR of two sketches estimates how many samples differ, most
 precisely where few do, so the join itself drops pairs that cannot be similar
-enough. What remains is compared word by word. Equal word sets form one class
-beforehand and are expanded at the end.
+enough. What remains is compared word by word, by 64-bit hashes of the words. Equal
+word sets form one class beforehand; ``similar_classes`` returns classes and their
+members, ``similar_pairs`` expands them to pairs of rows.
 """
 
 from __future__ import annotations
@@ -21,14 +22,15 @@ from pyspark.sql import functions as F
 
 from arclume.session import cut
 
-BANDS, ROWS = 40, 7
-SAMPLES, BITS = 128, 256
+BANDS, ROWS = 30, 6
+SAMPLES, BITS = BANDS * ROWS, 384
 SEED = 20250101
 
 
 def word_set(text: Column) -> Column:
-    """The distinct runs of a-z and 0-9 of the lower-cased text, sorted; null for null."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))))
+    """The 64-bit hashes of the distinct runs of a-z and 0-9 of the lower-cased text, sorted; null for null."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
 def minhash(values: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
@@ -61,11 +63,15 @@ def odd_sketch(signature: np.ndarray, bits: int = BITS) -> np.ndarray:
     return (flips.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64)
 
 
-def xor_limit(threshold: float, samples: int = SAMPLES, bits: int = BITS, sigmas: float = 5.0) -> int:
-    """The XOR population count that a pair at ``threshold`` stays below, ``sigmas`` deviations out."""
-    differ = samples * (1 - threshold) + sigmas * math.sqrt(samples * threshold * (1 - threshold))
+def xor_limit(threshold: float, samples: int = SAMPLES, bits: int = BITS, sigmas: float = 4.0) -> int:
+    """The XOR population count that a pair at ``threshold`` stays below, ``sigmas`` deviations out.
+
+    The count varies with the number of samples that differ and with the bits they fall on.
+    """
+    differ = samples * (1 - threshold)
     mean = bits / 2 * (1 - math.exp(-4 * differ / bits))
-    return math.ceil(mean + sigmas * math.sqrt(bits) / 4)
+    slope = 2 * math.exp(-4 * differ / bits)
+    return math.ceil(mean + sigmas * math.sqrt(slope**2 * differ * threshold + bits / 16))
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,19 +97,21 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, least: int = 40) -> DataFrame:
-    """``key_a, key_b, similarity``: all pairs of rows whose word sets are similar enough, smaller key first.
+def similar_classes(df: DataFrame, key: str, text: str, threshold: float = 0.8, least: int = 40) -> tuple[DataFrame, DataFrame]:
+    """(``cls, id`` of every row that takes part; ``cls_a, cls_b, similarity`` of the classes that are similar enough).
 
+    A class holds the rows of one word set and is named by its smallest key.
     Similarity is |A and B| / |A or B|, exact. Null texts and texts with fewer than
-    ``least`` (at least 1) distinct words take no part; equal texts are pairs. A
-    candidate is missed with a chance of 8e-5 at the threshold and less above it; no
-    false pair is returned. Rows with a null key take no part.
+    ``least`` (at least 1) distinct words take no part, nor do rows with a null key.
+    A candidate is missed with a chance of 2e-4 at the threshold and less above it;
+    no false pair is returned.
     """
-    rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), word_set(F.col(f"`{text}`")).alias("words")).where((F.size("words") >= max(1, least)) & F.col("id").isNotNull())
-    rows = rows.withColumn("digest", F.sha2(F.array_join("words", " "), 256))
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), word_set(F.col(f"`{text}`")).alias("h")).where((F.size("h") >= max(1, least)) & F.col("id").isNotNull())
+    # sets are equal if two hashes of them are
+    rows = rows.select("id", "h", F.xxhash64(F.lit(1), "h").alias("d1"), F.xxhash64(F.lit(2), "h").alias("d2"))
     # one class per word set; its smallest id names it
-    classes = cut(rows.groupBy("digest").agg(F.min("id").alias("cls"), F.first("words").alias("words")))
-    hashes = classes.select("cls", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    classes = cut(rows.groupBy("d1", "d2").agg(F.min("id").alias("cls"), F.first("h").alias("h")))
+    hashes = classes.select("cls", "h")
     words = BITS // 64
     bands = hashes.mapInArrow(_band_rows, "band long, cls long, size int, " + ", ".join(f"s{i} long" for i in range(words)))
     a, b = bands.alias("a"), bands.alias("b")
@@ -112,14 +120,24 @@ def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, le
     close = (F.col("a.cls") < F.col("b.cls")) & (smaller >= larger * threshold) & (apart <= xor_limit(threshold))
     proposed = a.join(b, (F.col("a.band") == F.col("b.band")) & close).select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
 
-    sets = classes.select("cls", "words")
-    both = proposed.join(sets.toDF("cls_a", "words_a"), "cls_a").join(sets.toDF("cls_b", "words_b"), "cls_b")
-    common = F.size(F.array_intersect("words_a", "words_b"))
+    sets = classes.select("cls", "h")
+    both = proposed.join(sets.toDF("cls_a", "h_a"), "cls_a").join(sets.toDF("cls_b", "h_b"), "cls_b")
+    common = F.size(F.array_intersect("h_a", "h_b"))
     # in whole numbers where they decide: |A and B| against the union
-    sized = both.select("cls_a", "cls_b", common.alias("i"), (F.size("words_a") + F.size("words_b") - common).alias("u"))
+    sized = both.select("cls_a", "cls_b", common.alias("i"), (F.size("h_a") + F.size("h_b") - common).alias("u"))
     linked = sized.where(F.col("i") / F.col("u") >= threshold).select("cls_a", "cls_b", (F.col("i") / F.col("u")).alias("similarity"))
 
-    members = rows.join(classes.select("digest", "cls"), "digest").select("cls", "id")
+    members = rows.select("id", "d1", "d2").join(classes.select("d1", "d2", "cls"), ["d1", "d2"]).select("cls", "id")
+    return members, linked
+
+
+def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, least: int = 40) -> DataFrame:
+    """``key_a, key_b, similarity``: all pairs of rows whose word sets are similar enough, smaller key first.
+
+    See ``similar_classes``; rows of one class are pairs as well, so what is returned
+    grows by the square of the copies, as its definition demands.
+    """
+    members, linked = similar_classes(df, key, text, threshold, least)
     across = linked.join(members.toDF("cls_a", "x"), "cls_a").join(members.toDF("cls_b", "y"), "cls_b").select("x", "y", "similarity")
     within = members.alias("m").join(members.alias("n"), (F.col("m.cls") == F.col("n.cls")) & (F.col("m.id") < F.col("n.id"))).select(F.col("m.id").alias("x"), F.col("n.id").alias("y"), F.lit(1.0).alias("similarity"))
     return across.unionByName(within).select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"), "similarity")

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pyarrow.parquet as pq
 
-from arclume.llm.neardup import SAMPLES, minhash, odd_sketch, similar_pairs, xor_limit
+from arclume.llm.neardup import SAMPLES, minhash, odd_sketch, similar_classes, similar_pairs, xor_limit
 
 
 def brute(rows, threshold, least):
@@ -35,6 +35,11 @@ def test_small_fixture(spark):
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "log_id long, full_prompt string, cls int, words string")
     got = sorted((r[0], r[1]) for r in similar_pairs(df, "log_id", "full_prompt", 0.8, 40).collect())
     assert got == brute(rows, 0.8, 40)
+    members, links = similar_classes(df, "log_id", "full_prompt", 0.8, 40)
+    of = {r.id: r.cls for r in members.collect()}
+    assert len(of) == sum(i is not None and t is not None and len(set(re.findall("[a-z0-9]+", t.lower()))) >= 40 for i, t in rows)
+    linked = {(r.cls_a, r.cls_b) for r in links.collect()}
+    assert linked == {(min(of[a], of[b]), max(of[a], of[b])) for a, b in got if of[a] != of[b]}
     assert similar_pairs(df.limit(0), "log_id", "full_prompt").collect() == []
 
 
