@@ -23,7 +23,7 @@ from arclume.llm.vectors import compare_all, linked, search, unlinked
 from arclume.session import cut
 
 #: A cluster hangs on single links near the threshold, so fewer of them may be missed than in a search of near neighbours.
-MISS, SIGMAS = 1e-4, 4.0
+MISS, SIGMAS = 1e-3, 4.0
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ SAMPLE = 16_000
 #: Rows a home block should hold, and the most centres there are; where blocks grow beyond ``CELL`` rows they are split.
 BLOCK, MAX_BLOCKS, CELL = 3_000, 16_384, 16_384
 #: Rows that a substring value holds on average at most, and rows of one value that a task compares.
-BUCKET, CHUNK = 512, 65_536
+BUCKET, CHUNK = 2_048, 65_536
 #: Bits of a code that are compared.
 CODE = 128
 #: The chance that two vectors at the threshold share no substring, and deviations of their Hamming distance that the radius allows.
@@ -171,14 +171,15 @@ def _pack(bits: np.ndarray) -> np.ndarray:
 
 
 def index_rows(feat: int, model: Model, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One row per vector and substring: bucket, side, two words of code, id, home block.
+    """One row per vector and substring: bucket, two words of code, id, home block and side.
 
     A split bucket's row goes to every pair of chunks that its own one is in; side 0
-    is compared with side 1, and side 2 with its own.
+    is compared with side 1, and side 2 with its own. The side is the last two bits
+    of the last column.
     """
     home, code = place(model, x)
     words = _pack(code[:, :CODE]).view(np.int64)
-    own = (home + feat * MAX_BLOCKS).astype(np.int32)
+    own = ((home + feat * MAX_BLOCKS) << 2).astype(np.int32)
     bucket, side, at = [], [], []
     every = np.arange(len(ids))
     hot = np.array(sorted(model.hot), np.int64)
@@ -186,7 +187,7 @@ def index_rows(feat: int, model: Model, ids: np.ndarray, x: np.ndarray) -> tuple
         split = np.isin(value, hot) if len(hot) else np.zeros(len(value), bool)
         plain = every[~split]
         bucket.append(value[plain] << 20)
-        side.append(np.full(len(plain), 2, np.int8))
+        side.append(np.full(len(plain), 2, np.int32))
         at.append(plain)
         for b in np.unique(value[split]):
             rows, n = every[value == b], model.hot[int(b)]
@@ -194,10 +195,10 @@ def index_rows(feat: int, model: Model, ids: np.ndarray, x: np.ndarray) -> tuple
             for other in range(n):
                 low, high = np.minimum(chunk, other), np.maximum(chunk, other)
                 bucket.append((b << 20) + low * n + high + 1)
-                side.append(np.where(chunk == other, 2, chunk > other).astype(np.int8))
+                side.append(np.where(chunk == other, 2, chunk > other).astype(np.int32))
                 at.append(rows)
     to = np.concatenate(at)
-    return np.concatenate(bucket) + (feat << 56), np.concatenate(side), words[to, 0], words[to, 1], ids[to], own[to]
+    return np.concatenate(bucket) + (feat << 56), words[to, 0], words[to, 1], ids[to], own[to] + np.concatenate(side)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -215,25 +216,28 @@ def _once(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return x[first], y[first]
 
 
-def compare(bucket: np.ndarray, side: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray, home: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def compare(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray, home: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(id, block): which foreign blocks hold codes within ``most`` of a row's; rows are sorted by bucket, all rows of a bucket are compared."""
+    home, side = home >> 2, home & 3
     out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int32))]
-    held, at, d = 0, np.arange(len(bucket)), 0
-    while len(at):
-        d += 1
-        at = at[at + d < len(bucket)]
-        at = at[bucket[at] == bucket[at + d]]
-        to = at + d
-        met = (home[at] != home[to]) & ((side[at] == 2) | (side[at] != side[to]))
-        i, j = at[met], to[met]
-        near = np.bitwise_count(a[i] ^ a[j]) + np.bitwise_count(b[i] ^ b[j]) <= most
-        i, j = i[near], j[near]
-        out += [(ids[j], home[i]), (ids[i], home[j])]
-        held += 2 * len(i)
-        if held > HELD:
-            out = [_once(out)]
-            held = len(out[0][0])
-            held = 0 if held > HELD // 2 else held
+    held = 0
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    for p, q in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if home[p] == home[q - 1] and (home[p:q] == home[p]).all():
+            continue
+        for i in range(p, q, 256):
+            r = slice(i, min(i + 256, q))
+            apart = np.bitwise_count(a[r, None] ^ a[None, i:q])
+            apart += np.bitwise_count(b[r, None] ^ b[None, i:q])
+            u, v = np.nonzero(apart <= most)
+            u, v = u + i, v + i
+            met = (home[u] != home[v]) & ((side[u] == 2) | (side[u] != side[v]))
+            u, v = u[met], v[met]
+            out += [(ids[v], home[u]), (ids[u], home[v])]
+            held += 2 * len(u)
+            if held > HELD:
+                out = [_once(out)]
+                held = len(out[0][0]) % HELD
     return _once(out)
 
 
@@ -528,21 +532,19 @@ def search(df: DataFrame, key: str, columns: list[str], threshold: float, in_blo
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for f, model, _, ids, m in usable(b):
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in index_rows(f, model, ids, unit(m))], names=["bucket", "side", "a", "b", "id", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in index_rows(f, model, ids, unit(m))], names=["bucket", "a", "b", "id", "home"])
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for f, model, at, ids, m in usable(b):
                 home, _ = place(model, unit(m))
-                cells = model.cells[home]
-                own = (mix(ids.view(np.uint64)) % cells.astype(np.uint64)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), f, np.int32)), pa.array(ids), pa.array((home + f * blocks_per_column).astype(np.int32)), pa.array(own.astype(np.int32)), b.column(1 + f).take(pa.array(at))], names=["feat", "id", "home", "cell", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), f, np.int32)), pa.array(ids), pa.array((home + f * blocks_per_column).astype(np.int32)), b.column(1 + f).take(pa.array(at))], names=["feat", "id", "home", "vec"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
 
         def met(now: list[np.ndarray]) -> pa.RecordBatch:
-            x, y = compare(now[0], now[1], now[2].view(np.uint64), now[3].view(np.uint64), now[4], now[5], most)
+            x, y = compare(now[0], now[1].view(np.uint64), now[2].view(np.uint64), now[3], now[4], most)
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y.astype(np.int32))], names=["id", "block"])
 
         for b in batches:
@@ -559,7 +561,7 @@ def search(df: DataFrame, key: str, columns: list[str], threshold: float, in_blo
             yield met(kept)
 
     # one index row per vector and substring
-    index = slim.mapInArrow(codes, "bucket long, side byte, a long, b long, id long, home int")
+    index = slim.mapInArrow(codes, "bucket long, a long, b long, id long, home int")
     found = index.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(probe, "id long, block int")
     feat = F.floor(F.col("block") / MAX_BLOCKS).cast("int").alias("feat")
     foreign = found.groupBy(feat, "id").agg(F.collect_set("block").alias("foreign"))
@@ -575,24 +577,24 @@ def search(df: DataFrame, key: str, columns: list[str], threshold: float, in_blo
     heads = crowd.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
     rest = crowd.join(heads.select("feat", "id"), ["feat", "id"], "left_anti")
 
-    vectors = slim.mapInArrow(homes, "feat int, id long, home int, cell int, vec array<float>")
+    vectors = slim.mapInArrow(homes, "feat int, id long, home int, vec array<float>")
     sent = vectors.join(foreign.unionByName(rest.select("feat", "id", F.array(F.lit(-1)).alias("foreign"))), ["feat", "id"], "left")
     sent = sent.where(F.col("foreign").isNull() | ~F.array_contains("foreign", -1))
     targets = F.concat(F.array(F.struct(F.col("home").alias("block"), F.lit(True).alias("own"))), F.transform(F.coalesce("foreign", F.array().cast("array<int>")), lambda t: F.struct(t.alias("block"), F.lit(False).alias("own"))))
-    sent = sent.select("id", "vec", "cell", F.explode(targets).alias("t")).select("t.block", "t.own", "cell", "id", "vec")
+    sent = sent.select("id", "vec", F.explode(targets).alias("t")).select("t.block", "t.own", "id", "vec")
 
     split = any(m is not None and (m.cells > 1).any() for m in models)
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """In a split block queries of cell i meet all rows of cell j in the task (i, j); a row that is both there comes once, as a query."""
         for b in batches:
-            block, own, cell, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            block, own, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             n = np.ones(len(block), np.int64)
             for f, model in enumerate(shared.value):
                 here = block // blocks_per_column == f
                 if model is not None:
                     n[here] = model.cells[block[here] % blocks_per_column]
-            cell = np.where(own, cell, (mix(ids.view(np.uint64)) % n.astype(np.uint64)).astype(np.int64))
+            cell = (mix(ids.view(np.uint64)) % n.astype(np.uint64)).astype(np.int64)
             at, query, task = [], [], []
             for many in np.unique(n):
                 rows = np.flatnonzero(n == many)
@@ -605,10 +607,9 @@ def search(df: DataFrame, key: str, columns: list[str], threshold: float, in_blo
                     task.append(cell[asks] * many + k)
                     query.append(np.ones(len(asks), bool))
             at, query, task = np.concatenate(at), np.concatenate(query), np.concatenate(task)
-            yield pa.RecordBatch.from_arrays([pa.array(block[at].astype(np.int64) * (1 << 32) + task), pa.array(query), pa.array(ids[at]), b.column(4).take(pa.array(at))], names=["block", "own", "id", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(block[at].astype(np.int64) * (1 << 32) + task), pa.array(query), pa.array(ids[at]), b.column(3).take(pa.array(at))], names=["block", "own", "id", "vec"])
 
-    ready = sent.select("block", "own", "cell", "id", "vec")
-    placed = ready.mapInArrow(to_cells, "block long, own boolean, id long, vec array<float>") if split else ready.select((F.col("block").cast("long") * (1 << 32)).alias("block"), "own", "id", "vec")
+    placed = sent.mapInArrow(to_cells, "block long, own boolean, id long, vec array<float>") if split else sent.select((F.col("block").cast("long") * (1 << 32)).alias("block"), "own", "id", "vec")
     blocks = placed.repartition(parts, "block").sortWithinPartitions("block")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

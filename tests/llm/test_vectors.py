@@ -159,11 +159,11 @@ def test_pigeonhole():
         finally:
             V.CHUNK = V_chunk
         assert (len(model.hot) > 0) == (chunk == 40)
-        home, code = V.place(model, x)
-        home = ids.astype(np.int32)  # every row is a block
-        bucket, side, a, b, i, _ = V.index_rows(0, model, ids, x)
+        code = V.place(model, x)[1]
+        bucket, a, b, i, side = V.index_rows(0, model, ids, x)
+        home = (i << 2) + (side & 3)  # every row is a block
         order = np.argsort(bucket, kind="stable")
-        p, q = V.compare(bucket[order], side[order], a[order].view(np.uint64), b[order].view(np.uint64), i[order], home[i[order]], V.CODE)
+        p, q = V.compare(bucket[order], a[order].view(np.uint64), b[order].view(np.uint64), i[order], home[order], V.CODE)
         found = set(zip(p.tolist(), q.tolist()))
         count = code.shape[1] // model.bits
         used = code[:, : count * model.bits]
