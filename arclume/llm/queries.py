@@ -31,7 +31,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of both logs that hold template residue or page text instead of a prompt or a message."""
     success = table(spark, sf_dir, "success_log").select(F.lit("success_log").alias("src"), "log_id", F.col("full_prompt").alias("text"))
     failure = table(spark, sf_dir, "failure_log").select(F.lit("failure_log").alias("src"), "log_id", F.col("fail_reason").alias("text"))
-    return find_residue(spread(success.unionByName(failure)), ["src", "log_id"], "text")
+    return find_residue(spread(success.unionByName(failure)), ["src", "log_id"], "text", "src")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,128 +1,237 @@
 """Template residue and error-page text instead of content.
 
-Records of one template agree but for their slots. What a slot holds tells whether
-it was filled: a notation for variables around a name that other records wrap in
-other notations (so the name is a slot's, not content), filler words, or a note
-that text is to follow. Error pages and script notices are templates as well: their
-fixed parts are known or, for sentences seen on several whole pages and hardly
-elsewhere, induced from the records themselves, and found again wherever they stand.
+Records of one source follow a template: runs of words that a fair share of them
+agree in, with slots between. Every three tokens in a row are an anchor of this
+alignment: those common in a source are its template's, all others are what its
+slots hold. What slots should hold differs from source to source. A run that stands
+in the slots of several sources' templates is content of neither: the default of a
+slot, filler, a page or a notice, repeated wherever something failed. Such runs are
+induced from counts over all texts and found again wherever they stand, so no
+wording of them is known beforehand.
+
+Beside runs, slots retain the names of their variables: an identifier between marks.
+Its notation is surely one where the marks are several or the identifier is written
+as one; a name that records hold in a sure notation, or in several, is a variable's
+in any other notation as well. Filler also shows by its form: a word said three times
+in a row, words of one letter, and a few dummy words. What stands in quotation marks
+is depicted and left out.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Notations of variables, by how surely they are one.
-NAME = r"\s*([A-Za-z][A-Za-z0-9_]{0,39}?)\s*"
-SURE = [
-    r"\{\{" + NAME + r"\}\}",
-    r"\$\{" + NAME + r"\}",
-    r"#\{" + NAME + r"\}",
-    r"%\(" + NAME + r"\)s",
-    r"<%=?" + NAME + r"%>",
-    r"\{%" + NAME + r"%\}",
-    r"<<" + NAME + r">>",
-    r"\[\[" + NAME + r"\]\]",
-    r"@@" + NAME + r"@@",
-    r"(?<![A-Za-z0-9])__([A-Za-z][A-Za-z0-9_]{0,39}?)__(?![a-z0-9])",
-    r"(?i)\[(?:insert|enter|add) " + NAME + r"\]",
-    r"(?i)\[your " + NAME + r" here\]",
-]
-UNSURE = [r"\{" + NAME + r"\}", r"<" + NAME + r">", r"\$([A-Za-z][A-Za-z0-9_]{0,39}?)\$", r"%([A-Za-z][A-Za-z0-9_]{0,39}?)%", r"«" + NAME + r"»"]
-
-# The slots of the prompt template. Other names are induced.
-SLOTS = ["pc", "pchar", "po", "label", "frame", "time", "location", "detail", "scene", "camera", "weather", "role", "clothing", "reason"]
-
-# Filler.
-_OPEN = r"(?:frame|caption|description|picture|scene|prompt|label|text|body|wording)"
-FILLER = [
-    r"(?i)\b(?:lorem|ipsum|dolor sit|sit amet|consectetur)\b",
-    r"(?i)(?:^|[^\w])(?:(?:lorem|ipsum|dolor|amet|elit|foo|baz|qux|blah|asdf|qwerty|hjkl|tbd|filler|dummy|relleno|test|abc|bar|sample|zzz|xxx|sit|muster|beispiel|n/a)[\s,.;:]+)(?:lorem|ipsum|dolor|amet|elit|foo|baz|qux|blah|asdf|qwerty|hjkl|tbd|filler|dummy|relleno|test|abc|bar|zzz|xxx|sit|muster|beispiel|n/a)\b",
-    r"(?i)\b([a-z])\1{2,}\b[\s,.;:]+\b([a-z])\2{2,}\b",
-    r"(?i)\b(\p{L}{2,})(?:[\s,.;]+\1\b){2,}",
-    r"\bFIXME\b|\bTODO\s*:|\bTBD\s*:",
-    r"(?i)\b" + _OPEN + r"(?: (?:text|body|wording))? (?:still )?(?:comes? later|to follow|to be (?:written|added|filled in)|to come|pending|not written yet|goes here|comes here)\b",
-    r"(?i)\b(?:put|add|write|describe|insert|enter|type|replace) (?:the |this |your |a )?" + _OPEN + r"(?: (?:text|body|wording|description))?(?: (?:here|below|later))?(?:\b|$)",
-    r"(?i)steht später die Beschreibung|testo segnaposto|komt nog tekst|Platzhaltertext|aquí va la descripción|(?:texte|description|légende) à (?:venir|remplacer|compléter)|texte de remplissage|texto de ejemplo|示例文字|此处填写|待填写",
-]
-
-# Texts of error, block and maintenance pages.
-STATUS = r"(?:Bad Request|Unauthorized|Forbidden|Not Found|Gone|Too Many Requests|Internal Server Error|Unknown Error|Bad Gateway|Service Unavailable|Gateway Time-?out)"
-_SUBJECT = r"(?:the|this|that|our|your) (?:page|link|site|address|service|studio|origin|gateway|portal|web server|upstream host|requested file|resource(?: you asked for)?|server|website|app|viewer|content|host)"
-_STATE = r"(?:does not exist|could not be found|cannot be (?:shown|found|reached|displayed)|is having a short break|is not here any more|ran into a problem|returned an invalid (?:reply|response)|refused the connection|did not answer|is over capacity|is off limits|is down for maintenance|is under maintenance|has moved or been removed)"
-MARKUP = r"(?i)<!doctype html|<html\b|<head>|</?title>|&lt;/?title&gt;|<body>|</body>|<noscript>"
-TRAILER = r"(?:\bRay|\bIncident) [0-9a-f]{6,}\b|\| Home \| Contact \|"
-PAGE = [
-    MARKUP,
-    TRAILER,
-    r"\b[45]\d\d " + STATUS + r"\b|\bError [45]\d\d:",
-    r"(?i)\b" + _SUBJECT + " " + _STATE,
-    r"\b" + STATUS + r"\. (?:Oops|Uh-oh|Well, this|Sorry|We are sorry|(?i:" + _SUBJECT + r")|(?:You|Your|Too) )",
-    r"(?i)you do not have permission to view|your session has ended|too many visits from your address|noticed unusual traffic|prove that you are not a robot|access has been limited by|write to the site owner|return to start \| help centre|our team has been told|reload the page or come back|check the spelling of the address|go back to the home page|well, this is awkward",
-    r"(?i)page demandée est introuvable|serveur ne répond pas|no está disponible temporalmente|no encontramos la página|seite wurde leider nicht gefunden|zurzeit nicht erreichbar|zugriff verweigert|bitte melden sie sich an|pagina non esiste|访问的页面不存在|服务器繁忙",
-]
-
-# Notices that scripts have to be on.
-_SCRIPT = r"(?:javascript|js(?: and cookies)?|scripts?|(?:active |client-side )?script(?:ing)?|active scripts?)"
-SCRIPTS = [
-    r"(?i)\b(?:please enable|turn on|activate|enable) " + _SCRIPT + r"\b",
-    r"(?i)\b" + _SCRIPT + r" (?:is|are) (?:switched off|disabled|turned off)|\b" + _SCRIPT + r" blocked\?|\b" + _SCRIPT + r" must be on\b|\b(?:needs|requires) " + _SCRIPT + r"\b",
-    r"(?i)\bdoes not (?:run|work without) " + _SCRIPT + r"\b|\ballow " + _SCRIPT + r" to\b|\bwith " + _SCRIPT + r" disabled|checking your browser before|for full use of this \w+ activate",
-    r"(?i)désactivé dans votre navigateur|activer javascript|benötigt javascript|aktivieren sie javascript|active javascript para|no permite scripts|启用 ?javascript|需要脚本",
-]
-
-LEAST_PAGES, LEAST_SHARE = 3, 0.3
-
-
-def _any(text: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, (text.rlike(p) for p in patterns))
-
-
-def _names(text: Column, patterns: list[str]) -> Column:
-    """Array of (notation, name) in ``text``; names are lower-cased and lose a number at their end."""
-
-    def held(i: int) -> Column:
-        found = F.regexp_extract_all(text, F.lit(patterns[i]), F.lit(1))
-        return F.transform(found, lambda n: F.struct(F.lit(i).alias("notation"), F.regexp_replace(F.lower(n), r"_?\d+$", "").alias("name")))
-
-    each = [held(i) for i in range(len(patterns))]
-    return F.flatten(F.array(*each))
-
-
-def _sentences(text: Column) -> Column:
-    """Normalised sentences: markup and numbers out, lead-ins cut."""
-    plain = F.regexp_replace(text, r"<[^<>]{1,200}>|&lt;/?\w+&gt;", "\n")
-    plain = F.regexp_replace(F.lower(plain), r"[0-9a-f]*\d[0-9a-f]*", "0")
-    parts = F.transform(F.split(plain, r"(?<=[.!?])\s+|(?<=[。！？])|[\n:]+"), lambda s: F.trim(s))
-    return F.array_distinct(F.filter(parts, lambda s: (F.length(s) >= 16) | (s.rlike("[\\x{4e00}-\\x{9fff}]") & (F.length(s) >= 6))))
-
-
-def find_residue(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+from arclume.llm.tokens import END, MARK, NUMBER, START, WORD, Tokens, lex, mix
+from arclume.session import cut
+
+# Dummy words.
+FILLER = ["lorem", "ipsum", "dolor", "amet", "consectetur", "foo", "bar", "baz", "qux", "asdf", "qwerty", "hjkl", "tbd", "fixme", "todo", "xxx", "blah", "dummy"]
+
+#: Share of a source's texts from which a run is its template's, if they are distinct enough.
+COMMON, DISTINCT = 0.05, 90
+#: Bits of the filter for induced runs, an entry, and at most; what passes it is looked up in the table of runs.
+PER_RUN, MOST_BITS = 16, 1 << 27
+
+QUOTED = r'"[^"\n]{0,200}"|“[^“”\n]{0,200}”|„[^„“”\n]{0,200}[“”]'
+QUOTED_ONCE = r"(^|[\s(,.;:])'[^'\n]{3,200}'"
+_OPEN, _CLOSE = r"[\[{<%$#@~|«^]", r"[\]}>%$#@~|»=^)]"
+HELD = re.compile(rf"(?<!\w)(?P<o>{_OPEN}(?:[\[{{<%$#@~|«^=(]){{0,2}}|__)\s*(?P<n>(?:[A-Za-z]+ ){{0,2}}?[A-Za-z][A-Za-z0-9_]{{0,59}}?(?: [A-Za-z]+)?)\s*(?P<c>{_CLOSE}{{1,3}}(?:s(?![A-Za-z0-9]))?|__(?![a-z0-9]))")
+_MIRROR = {"{": "}", "[": "]", "<": ">", "(": ")", "«": "»"}
+
+
+def closes(opening: str, closing: str) -> bool:
+    """Whether the marks after a name answer those before it."""
+    mirrored = "".join(_MIRROR.get(c, c) for c in reversed(opening.rstrip("=")))
+    plain = closing.removesuffix("s") if opening.endswith("(") else closing
+    # "${x}" ends by its last mark alone, and so does "%(x)s"
+    return plain == mirrored or (len(opening) > 1 and opening[-1] in _MIRROR and plain == _MIRROR[opening[-1]])
+
+
+def base(name: str) -> str:
+    """A name without case and the number at its end."""
+    return re.sub(r"_?\d+$", "", name.lower())
+
+
+def names(text: str) -> Iterator[tuple[str, str, bool, bool]]:
+    """(name, notation, surely a variable's, alone between the marks) of what stands between marks."""
+    for m in HELD.finditer(text):
+        if closes(m["o"], m["c"]):
+            words = m["n"].split()
+            alone = len(words) == 1
+            if not alone and m.start("n") > m.end("o"):
+                continue  # several words stand close to the marks, or they are only compared or counted
+            shaped = any("_" in w for w in words)
+            for w in words:
+                yield base(w), m["o"] + " " + m["c"], shaped or (alone and len(m["o"]) > 1), alone
+
+
+def depicted(texts: pa.Array) -> pa.Array:
+    """Texts without what stands in quotation marks."""
+    return pc.replace_substring_regex(pc.replace_substring_regex(texts, QUOTED, ' " '), QUOTED_ONCE, '\\1 " ')
+
+
+def runs(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash, whether it counts alone) of every three tokens that hold two words, and of every sentence without blanks.
+
+    Marks and ends are all alike, so a slot's whole filling is found between others.
+    """
+    loose = (t.kind == MARK) | (t.kind == START) | (t.kind == END)
+    h = np.where(loose, np.uint64(MARK), t.hash)
+    word = (t.kind == WORD).astype(np.int8)
+    wide = np.flatnonzero(t.wide)
+    n = max(0, len(t.row) - 2)
+    at = np.flatnonzero((t.row[:n] == t.row[2:]) & (word[:n] + word[1 : n + 1] + word[2:] >= 2)) if n else np.zeros(0, np.int64)
+    three = mix(h[at] * np.uint64(3) + mix(h[at + 1] * np.uint64(5) + mix(h[at + 2] + np.uint64(7))))
+    alone = np.concatenate([loose[at] | loose[at + 1] | loose[at + 2], np.ones(len(wide), bool)])
+    return np.concatenate([t.row[at], t.row[wide]]), np.concatenate([at, wide]), np.concatenate([three, mix(h[wide] + np.uint64(11))]), alone
+
+
+def _dummies() -> np.ndarray:
+    return np.concatenate([t.hash[t.kind == WORD] for t in lex(pa.array(FILLER or [""]))])
+
+
+def filled(t: Tokens, dummies: np.ndarray) -> np.ndarray:
+    """Texts that hold filler by its form."""
+    at = np.flatnonzero(t.kind != MARK)
+    row, h, word = t.row[at], t.hash[at], t.kind[at] == WORD
+    long, same = word & (t.length[at] > 1), t.same[at]
+    dummy = word & np.isin(h, dummies)
+    twice = (row[1:] == row[:-1]) & ((same[1:] & same[:-1]) | (dummy[1:] & dummy[:-1]))
+    thrice = (row[2:] == row[:-2]) & long[2:] & (h[2:] == h[1:-1]) & (h[1:-1] == h[:-2])
+    return np.unique(np.concatenate([row[1:][twice], row[2:][thrice]]))
+
+
+def _texts(b: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """(source, hash, text) of the distinct texts of a batch, depictions left out."""
+    th, first = np.unique(b.column(1).to_numpy(), return_index=True)
+    return b.column(0).take(pa.array(first)), th, depicted(b.column(2).take(pa.array(first)))
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of a source hold each run, and a bitmap of which; run 0 stands for any text."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        src, th, texts = _texts(b)
+        code = src.dictionary_encode()
+        source, bit = code.indices.to_numpy(), np.uint64(1) << (mix(th.view(np.uint64)) % np.uint64(64))
+        keys = [(source.astype(np.int64), np.zeros(len(th), np.uint64), bit)]
+        for t in lex(texts):
+            row, _, h, _ = runs(t)
+            order = np.lexsort((row, h))
+            row, h = row[order], h[order]
+            once = np.ones(len(row), bool)
+            once[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+            row, h = row[once], h[once]
+            keys.append((source[row].astype(np.int64), h, bit[row]))
+        s, h, bit = (np.concatenate(c) for c in zip(*keys, strict=True))
+        order = np.lexsort((h, s))
+        s, h, bit = s[order], h[order], bit[order]
+        begin = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (h[1:] != h[:-1])]))
+        n = np.diff(np.append(begin, len(s)))
+        yield pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(s[begin])), pa.array(h[begin].view(np.int64)), pa.array(n), pa.array(np.bitwise_or.reduceat(bit, begin).view(np.int64))], names=["src", "g", "n", "bits"])
+
+
+def induced_runs(texts: DataFrame) -> DataFrame:
+    """``g``: the runs that the slots of several sources hold; ``texts`` are ``src, th, t``."""
+    each = texts.mapInArrow(_count, "src string, g long, n long, bits long").groupBy("src", "g").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits"))
+    # an entry per source in each list
+    across = cut(each.groupBy("g").agg(F.collect_list(F.struct("src", "n", "bits")).alias("of")).where((F.size("of") > 1) | (F.col("g") == 0)))
+    total = {s["src"]: s["n"] for r in across.where("g = 0").collect() for s in r.of}
+    if len(total) < 2:
+        return across.where("false").select("g")
+    whole = F.create_map(*[F.lit(x) for kv in total.items() for x in kv])
+    # linear counting; a full bitmap is of some 270 texts or more
+    texts_with = lambda x: F.when(F.bit_count(x["bits"]) > 63, 270.0).otherwise(-64 * F.log1p(-F.bit_count(x["bits"]) / 64))
+    fixed = lambda x: (x["n"] >= COMMON * whole[x["src"]]) & (texts_with(x) >= F.least(F.lit(float(DISTINCT)), COMMON * whole[x["src"]]))
+    return across.where((F.col("g") != 0) & ~F.exists("of", fixed)).select("g")
+
+
+def _bits(g: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    h = g.view(np.uint64)
+    return (h % np.uint64(size)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(size)).astype(np.int64)
+
+
+def _filter(runs_: DataFrame) -> np.ndarray:
+    """Bits of which two are set for every run; at most ``MOST_BITS``, however many runs there are."""
+    size = int(min(MOST_BITS, max(1 << 16, 1 << (PER_RUN * max(1, runs_.count()) - 1).bit_length())))
+
+    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bit = np.concatenate(_bits(b.column(0).to_numpy(), size))
+            yield pa.RecordBatch.from_arrays([pa.array(bit // 32), pa.array(np.int64(1) << (bit % 32))], names=["word", "bits"])
+
+    got = runs_.mapInArrow(set_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size // 32, np.uint32)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
+    return out
+
+
+def find_residue(df: DataFrame, keys: list[str], text: str, source: str | None = None) -> DataFrame:
     """``keys`` of the rows whose text is or contains template residue, filler, an error page or a script notice.
 
-    All of each text is read. Null, empty and blank texts are no residue, nor is a
-    slot left blank. Repeated rows are judged each; ``keys`` are returned once.
-    Names in notations that also occur in content (braces, angle brackets, dollar or
-    percent signs) count only if they are the template's or if records hold them in
-    two sure notations as well, so a drawn sign with braces stays. Induced sentences need three whole pages.
+    ``source`` says which rows follow one template (few values); without it, or with
+    one value, no runs are induced and names and filler remain. All of each text is
+    read and counted. Null, empty and blank texts are no residue, nor is a slot left
+    blank, nor what stands in quotation marks. Copies of a text count once where
+    they are met together, and are all returned; ``keys`` are returned once. An empty
+    table gives no rows.
     """
+    spark = df.sparkSession
     k = [f"k{i}" for i in range(len(keys))]
     t = F.col("t")
-    rows = df.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(keys, k, strict=True)], F.col(f"`{text}`").cast("string").alias("t")).where(t.isNotNull() & t.rlike(r"\S"))
-    known = rows.where(_any(t, SURE + FILLER + PAGE + SCRIPTS)).select(*k)
-
-    # names that slots of several notations retain; then the other notations of the same names
-    sure = rows.select(F.explode(_names(t, SURE)).alias("n")).select("n.notation", "n.name").groupBy("name").agg(F.count_distinct("notation").alias("kinds"))
-    slots = sure.where((F.col("kinds") >= 2) & ~F.col("name").isin(SLOTS)).select("name")
-    held = rows.select(*k, F.explode(_names(t, UNSURE)).alias("n")).select(*k, "n.name")
-    unsure = held.where(F.col("name").isin(SLOTS)).select(*k).unionByName(held.join(slots, "name", "left_semi").select(*k))
-
-    # sentences of whole pages, wherever else they stand
-    whole = (F.substring(t, 1, 80).rlike(MARKUP) | (t.rlike(TRAILER) & (F.length(t) < 1000)) | F.substring(t, 1, 80).rlike(PAGE[2])).cast("int")
-    said = rows.select(*k, whole.alias("page"), F.explode(_sentences(t)).alias("s"))
-    induced = said.groupBy("s").agg(F.sum("page").alias("pages"), F.count("*").alias("n")).where((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= F.col("n") * LEAST_SHARE)).select("s")
-    pages = said.join(induced, "s", "left_semi").select(*k)
-    return known.unionByName(unsure).unionByName(pages).distinct().toDF(*keys)
+    src = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")) if source else F.lit("")
+    rows = df.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(keys, k, strict=True)], src.alias("src"), F.col(f"`{text}`").cast("string").alias("t")).where(t.isNotNull() & t.rlike(r"\S"))
+    rows = rows.withColumn("th", F.xxhash64("src", "t"))
+    texts = rows.select("src", "th", "t")
+
+    induced = cut(induced_runs(texts))
+    shared = spark.sparkContext.broadcast((_filter(induced), _dummies()))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, dummies = shared.value
+        size = len(bits) * 32
+        for b in batches:
+            if not b.num_rows:
+                continue
+            _, th, own = _texts(b)
+            for s in lex(own):
+                row, at, h, loose = runs(s)
+                met = np.ones(len(h), bool)
+                for bit in _bits(h, size):
+                    met &= (bits[bit // 32] >> (bit % 32).astype(np.uint32) & 1).astype(bool)
+                sure = filled(s, dummies)
+                n = len(sure)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([th[row[met]], th[sure]])), pa.array(np.concatenate([at[met], np.zeros(n, np.int64)])), pa.array(np.concatenate([h[met].view(np.int64), np.zeros(n, np.int64)])), pa.array(np.concatenate([loose[met], np.ones(n, bool)])), pa.array(np.arange(len(row[met]) + n) >= len(row[met]))],
+                    names=["th", "at", "g", "loose", "sure"],
+                )
+
+    met = cut(texts.mapInArrow(look, "th long, at long, g long, loose boolean, sure boolean"))
+    runs_met = met.where("not sure").join(induced, "g", "left_semi").select("th", "at", "loose")
+    # a run counts if it goes on for four tokens or is bounded by a mark
+    further = runs_met.select("th", "at").unionByName(runs_met.select("th", (F.col("at") + 1).alias("at"))).groupBy("th", "at").agg(F.count("*").alias("n")).where("n > 1").select("th")
+    found = met.where("sure").select("th").unionByName(runs_met.where("loose").select("th")).unionByName(further)
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            _, th, own = _texts(b)
+            got = [(int(h), *x) for h, one in zip(th, own.to_pylist(), strict=True) for x in names(one)]
+            cols = list(zip(*got, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_()), strict=True)], names=["th", "name", "notation", "sure", "alone"])
+
+    # few texts hold marks that could open a name
+    marked = texts.where(t.rlike(r"[\[{<%$#@~|«^_]"))
+    held = cut(marked.mapInArrow(hold, "th long, name string, notation string, sure boolean, alone boolean"))
+    known = held.where("alone").groupBy("name").agg(F.count_distinct("notation").alias("n"), F.max("sure").alias("sure")).where("sure or n > 1").select("name")
+    found = found.unionByName(held.where("sure").select("th")).unionByName(held.join(known, "name", "left_semi").select("th")).distinct()
+    return rows.select(*k, "th").join(found, "th", "left_semi").select(*k).distinct().toDF(*keys)

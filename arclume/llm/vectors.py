@@ -65,6 +65,7 @@ class Model:
     centres: np.ndarray
     mean: np.ndarray
     rotations: np.ndarray
+    count: int  # of substrings
     bits: int  # of a substring, by the size of the table
     hot: dict[int, int]  # chunks of the substring values that are split
     cells: np.ndarray  # parts of each block
@@ -140,7 +141,7 @@ def fit(sample: np.ndarray, rows: int, threshold: float = 0.85, miss: float = MI
     count, bits = substrings(rows, threshold, miss)
     length = max(CODE, count * bits)
     rotations = np.concatenate([_itq(v, rng) for _ in range(-(-length // dim))], axis=1)[:, :length].astype(np.float32)
-    model = Model(dim, _kmeans(x, k, rng), mean, rotations, bits, {}, np.ones(k, np.int64))
+    model = Model(dim, _kmeans(x, k, rng), mean, rotations, count, bits, {}, np.ones(k, np.int64))
     # the sample says what has to be split; that decides how the work is spread, not what is found
     home, code = place(model, x)
     each = rows / len(x)
@@ -162,7 +163,7 @@ def place(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _values(model: Model, code: np.ndarray) -> list[np.ndarray]:
     """The value of each substring, with its place above the bits."""
     weights = 1 << np.arange(model.bits, dtype=np.int64)
-    return [code[:, j * model.bits : (j + 1) * model.bits] @ weights + (j << 30) for j in range(code.shape[1] // model.bits)]
+    return [code[:, j * model.bits : (j + 1) * model.bits] @ weights + (j << 30) for j in range(model.count)]
 
 
 def _pack(bits: np.ndarray) -> np.ndarray:

@@ -165,7 +165,7 @@ def test_pigeonhole():
         order = np.argsort(bucket, kind="stable")
         p, q = V.compare(bucket[order], a[order].view(np.uint64), b[order].view(np.uint64), i[order], home[order], V.CODE)
         found = set(zip(p.tolist(), q.tolist()))
-        count = code.shape[1] // model.bits
+        count = model.count
         used = code[:, : count * model.bits]
         apart = (used[:, None, :] != used[None, :, :]).sum(2)
         near = {(int(u), int(v)) for u, v in zip(*np.nonzero(apart < count)) if u != v}
