@@ -15,11 +15,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arclume.llm.vectors import compare_all, linked, search, unlinked
+from arclume.llm.vectors import compare_all, linked, matrix, search, unit, unlinked
 from arclume.session import cut
 
 #: A cluster hangs on single links near the threshold, so fewer of them may be missed than in a search of near neighbours.
@@ -73,6 +74,63 @@ def vector_clusters(df: DataFrame, key: str, column: str, threshold: float = 0.8
     return found.join(sizes, "root").select(F.col("node").alias(key), F.col("root").alias("first_id"))
 
 
+def _means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean cosine between the members of two clusters, from the sums of their unit vectors."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x, y = (np.asarray(b.column(i).flatten()).reshape(b.num_rows, -1) for i in (3, 5))
+        w = np.einsum("ij,ij->i", x, y) / (b.column(2).to_numpy() * b.column(4).to_numpy())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round(w, 12))], names=["u", "v", "w"])
+
+
+def average_linkage(df: DataFrame, key: str, column: str, links: DataFrame, threshold: float = 0.85, least: int = 3) -> DataFrame:
+    """``key, first_id``: clusters of ``least`` rows or more by average linkage on the sparse graph of ``links`` (u, v).
+
+    Each round every cluster points to the linked cluster with the greatest mean
+    cosine between members, ties to the smaller key; all pairs that point at each
+    other merge at once, and rounds end when no mean reaches ``threshold``. Means are
+    exact, from sums of unit vectors; only linked clusters are compared. With all
+    links at or above the threshold that is plain average linkage: clusters of such
+    a mean have a link, and merging mutual best pairs in any order gives the same
+    tree. A round moves the sums of clusters that changed and the links at them.
+    Rows without a link, or whose vectors ``vectors.matrix`` leaves out, are in no cluster.
+    """
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, m = matrix(b.column(1))
+            if len(at):
+                x = unit(m)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.ones(len(at), np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))], names=["id", "n", "s"])
+
+    edges = cut(links.where("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().withColumn("w", F.lit(None).cast("double")))
+    ends = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct()
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{column}`").cast("array<float>").alias("vec")).join(ends, "id", "left_semi")
+    sums = cut(rows.mapInArrow(units, "id long, n long, s array<double>"))
+    members = sums.select("id", F.col("id").alias("root"))
+    while True:
+        new = edges.where("w is null").join(sums.toDF("u", "n1", "s1"), "u").join(sums.toDF("v", "n2", "s2"), "v").select("u", "v", "n1", "s1", "n2", "s2")
+        scored = new.mapInArrow(_means, "u long, v long, w double")
+        edges = cut(edges.where("w is not null").unionByName(scored.where(F.col("w") >= threshold)))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+        best = both.groupBy("u").agg(F.max_by("v", F.struct("w", -F.col("v"))).alias("v"))
+        merged = cut(best.alias("a").join(best.alias("b"), (F.col("a.u") == F.col("b.v")) & (F.col("a.v") == F.col("b.u"))).where("a.u < a.v").select(F.col("a.u").alias("keep"), F.col("a.v").alias("gone")))
+        if merged.isEmpty():
+            break
+        touched = merged.select(F.explode(F.array("keep", "gone")).alias("id"))
+        pair = merged.join(sums.toDF("keep", "n1", "s1"), "keep").join(sums.toDF("gone", "n2", "s2"), "gone")
+        sums = cut(sums.join(touched, "id", "left_anti").unionByName(pair.select(F.col("keep").alias("id"), (F.col("n1") + F.col("n2")).alias("n"), F.zip_with("s1", "s2", lambda x, y: x + y).alias("s"))))
+        # links at merged clusters are scored anew
+        to = merged.select(F.explode(F.array(F.struct(F.col("keep").alias("id"), F.col("keep").alias("to")), F.struct(F.col("gone").alias("id"), F.col("keep").alias("to")))).alias("x")).select("x.id", "x.to")
+        moved = edges.join(to.toDF("u", "u2"), "u", "left").join(to.toDF("v", "v2"), "v", "left")
+        moved = moved.select(F.coalesce("u2", "u").alias("a"), F.coalesce("v2", "v").alias("b"), F.when(F.col("u2").isNull() & F.col("v2").isNull(), F.col("w")).alias("w"))
+        edges = moved.where("a <> b").groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.max("w").alias("w"))
+        members = cut(members.join(merged.select(F.col("gone").alias("root"), "keep"), "root", "left").select("id", F.coalesce("keep", "root").alias("root")))
+    sizes = members.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("root")
+    return members.join(sizes, "root").select(F.col("id").alias(key), F.col("root").alias("first_id"))
+
+
 def describe(df: DataFrame, members: DataFrame, key: str, column: str, typical: int = 3) -> DataFrame:
     """``first_id, size, rank, key, typicality``: each cluster's size and its most typical members.
 

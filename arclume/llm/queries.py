@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arclume.llm.clusters import describe, vector_clusters
+from arclume.llm.clusters import average_linkage, describe, vector_clusters
 from arclume.llm.containers import pack
 from arclume.llm.encoding import encode_corpus
 from arclume.llm.neardup import similar_pairs
@@ -27,6 +27,13 @@ def p2_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(table(spark, sf_dir, "clip_features"), cut(p2_found(spark, sf_dir)), "clip_id", "feat_last_token")
 
 
+def p2_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of mutually similar clips: average linkage on the graph of most similar clips."""
+    clips = table(spark, sf_dir, "clip_features")
+    links = similar_vectors(clips, "clip_id", ["feat_last_token"], 0.85).select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
+    return average_linkage(clips, "clip_id", "feat_last_token", links, 0.85, 3)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of both logs that hold template residue or page text instead of a prompt or a message."""
     success = table(spark, sf_dir, "success_log").select(F.lit("success_log").alias("src"), "log_id", F.col("full_prompt").alias("text"))
@@ -64,7 +71,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The problem queries of this subpackage."""
-    return {f.__name__: f for f in (p2_found, p2_typical, p3_found, p4_found, p5_found, p8_ids, p9_containers, p10_found)}
+    return {f.__name__: f for f in (p2_found, p2_linkage, p2_typical, p3_found, p4_found, p5_found, p8_ids, p9_containers, p10_found)}
 
 
 def _units_sql(column: str) -> str:
@@ -77,7 +84,7 @@ def _units_sql(column: str) -> str:
 def _nearest_sql(column: str) -> str:
     return f"""select distinct '{column}' as feat, least(a, b) as clip_a, greatest(a, b) as clip_b from
  (select a, b, c, row_number() over (partition by a order by c desc, b) as r from
-  (select x.id as a, y.id as b, list_dot_product(x.u, y.u) as c from {_units_sql(column)} x join {_units_sql(column)} y on x.id <> y.id))
+  (select x.id as a, y.id as b, round(list_dot_product(x.u, y.u), 12) as c from {_units_sql(column)} x join {_units_sql(column)} y on x.id <> y.id))
  where r <= 10 and c >= 0.85"""
 
 

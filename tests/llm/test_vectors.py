@@ -3,7 +3,7 @@ import pytest
 from pyspark import cloudpickle
 
 from arclume.llm import vectors as V
-from arclume.llm.clusters import components, describe, vector_clusters
+from arclume.llm.clusters import average_linkage, components, describe, vector_clusters
 
 
 def brute_pairs(ids, x, threshold, k=10):
@@ -247,3 +247,41 @@ def test_held_pairs_are_bounded(fixture, monkeypatch):
         best.setdefault(a, []).append((-w, b))
     got = {(min(a, b), max(a, b)) for a, found in best.items() for _, b in sorted(found)[:10]}
     assert got == brute_pairs(ids, x, 0.85)
+
+
+def dense_average_linkage(u, threshold):
+    """One merge at a time, over all pairs."""
+    groups = [[i] for i in range(len(u))]
+    sums = [v.copy() for v in u]
+    while len(groups) > 1:
+        s, n = np.stack(sums), np.array([len(g) for g in groups])
+        mean = np.round(s @ s.T / np.outer(n, n), 9)
+        mean[np.tril_indices(len(s))] = -2
+        i, j = np.unravel_index(mean.argmax(), mean.shape)
+        if mean[i, j] < threshold:
+            break
+        groups[i] += groups.pop(j)
+        sums[i] += sums.pop(j)
+    return {frozenset(g) for g in groups if len(g) >= 3}
+
+
+def test_average_linkage(spark):
+    rng = np.random.default_rng(8)
+    parts = [rng.standard_normal((30, 12))]
+    for size, spread in ((25, 0.45), (20, 0.3), (15, 0.55), (4, 0.1), (2, 0.1)):
+        c = rng.standard_normal(12)
+        parts.append(2 * c / np.linalg.norm(c) + spread * rng.standard_normal((size, 12)))
+    x = np.concatenate(parts).astype(np.float32)
+    x = np.concatenate([x, x[30:33]])  # repeated rows
+    ids = rng.permutation(len(x)).astype(np.int64)
+    u = V.unit(x)
+    i, j = np.nonzero(u @ u.T >= 0.85)
+    links = spark.createDataFrame([(int(ids[a]), int(ids[b])) for a, b in zip(i, j)] + [(None, 1)], "u long, v long")
+    got = {}
+    for r in average_linkage(frame(spark, ids, np.pad(x, ((0, 0), (0, 4)))), "clip_id", "v", links, 0.85, 3).collect():
+        got.setdefault(r.first_id, []).append(r.clip_id)
+    assert all(first == min(members) for first, members in got.items())
+    want = {frozenset(int(ids[m]) for m in g) for g in dense_average_linkage(u, 0.85)}
+    assert want and {frozenset(m) for m in got.values()} == want
+    none = spark.createDataFrame([], "u long, v long")
+    assert average_linkage(frame(spark, ids, np.pad(x, ((0, 0), (0, 4)))), "clip_id", "v", none).collect() == []
