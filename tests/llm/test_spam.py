@@ -1,6 +1,11 @@
+import random
+from collections import Counter
+
+import numpy as np
 import pyarrow.parquet as pq
 
-from arclume.llm.spam import Corpus, corpus_of, find_spam, form, repeated, units, words
+from arclume.llm import spam as S
+from arclume.llm.spam import Part, find_spam, form, judge_texts, limits, repeated, units, words
 
 NOTES = [
     "The camera stays beside the door for 30 frames. Nobody touches the shelf until the plumber moves it near the ramp, then leaves.",
@@ -36,21 +41,70 @@ def test_cases(spark):
     assert find_spam(df.limit(0), "doc_id", "text").collect() == []
 
 
-def test_counts_of_the_corpus(spark):
-    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
-    c = corpus_of(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(5), "text")
-    every = [w for t in texts for u in units(t or "") for w in words(u)]
-    assert c.total == len(every)
-    assert all(every.count(w) == n for w, n in list(c.one.items())[:50])
+def documents(sf="0.01"):
+    return [t for t in pq.read_table(f"/root/testdata/sf{sf}/documents.parquet")["text"].to_pylist() if t and t.strip()]
+
+
+def test_counts_of_the_corpus(spark, monkeypatch):
+    """Each part gets the counts of all distinct texts, however they are spread."""
+    texts = documents("0.001")[:60] * 2
+    monkeypatch.setattr(S, "HELD", 50)
+    want_words, want_pairs = Counter(), Counter()
+    for t in set(texts):
+        each = [words(u) for u in units(t)]
+        want_words.update({w for ws in each for w in ws})
+        want_pairs.update({p for ws in each for p in zip(ws, ws[1:]) if "0" not in p})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    rows = [b for b in S._count(S._dedupe(iter([b for b in df.selectExpr("xxhash64(text) h", "cast(pmod(xxhash64(text), 3) as int) part", "text t").toArrow().to_batches()])))]
+    spelt, hashed = Counter(), Counter()
+    for b in rows:
+        for k, g, d in zip(*(b[c].to_pylist() for c in ("k", "g", "d"))):
+            (hashed if k is None else spelt)[g if k is None else k] += d
+    assert spelt.pop("") == len(set(texts)) and spelt == want_words
+    plain = {p for p in want_pairs if all(w.isascii() and w.isalpha() for w in p)}
+    for pair in list(plain)[:200]:
+        for t in S.lex(S.pa.array([" ".join(pair)])):
+            _, both, _, _ = S.neighbours(t)
+            assert hashed[int(both.view(np.int64)[0])] == want_pairs[pair]
 
 
-def test_salad_is_incoherent():
-    one = {w: 100 for w in "abcdefghijklmnop"}
-    two = {f"{a} {b}": 90 for a, b in zip("abcdefghijklmno", "bcdefghijklmnop")}
-    c = Corpus(1600, one, two, {}, {})
-    ordered, shuffled = list("abcdefghijklmnop"), list("phdlbjfnacegikmo")
-    assert c.information(ordered) > 0 > c.information(shuffled)
-    assert c.spam(" ".join(shuffled)) and not c.spam(" ".join(ordered))
+def salad(rng, texts, n, length):
+    pool = [w for t in texts for u in units(t) for w in words(u) if w.isascii() and w != "0"]
+    return [" ".join(rng.choice(pool) for _ in range(length)) + "." for _ in range(n)]
+
+
+def test_word_salad(spark):
+    """Mutual information alone finds planted word salad at natural word frequencies, and no note."""
+    texts, rng = documents(), random.Random(2)
+    planted = salad(rng, texts, 30, 20) + salad(rng, texts, 10, 60)
+    copies = [planted[0]] * 300  # copies of a page do not make its neighbours common
+    df = spark.createDataFrame(list(enumerate(texts + planted + copies)), "doc_id long, text string")
+    before = {r.doc_id for r in find_spam(df.where(f"doc_id < {len(texts)}"), "doc_id", "text").collect()}
+    got = {r.doc_id for r in find_spam(df, "doc_id", "text").collect()}
+    assert {i for i in got if i < len(texts)} == before
+    assert len({i for i in got if len(texts) <= i < len(texts) + 40}) >= 38
+    assert len([i for i in got if i >= len(texts) + 40]) in (0, 300) and (len(texts) in got) == (len(texts) + 40 in got)
+    judged, limit = judge_texts(df, "text")
+    by_rules = {r.h for r in judged.where("bad * 2 > whole").select("h").collect()}
+    hashes = {r.h for r in df.where(f"doc_id >= {len(texts)}").selectExpr("xxhash64(text) h").collect()}
+    assert not hashes & by_rules and all(-1.5 < x <= 0 for x in limit.values())
+
+
+def test_information():
+    """Known neighbours score high, unseen ones -1, and units of unknown words are not judged."""
+    ordered = "the old man walks to the small harbour with his green boat today".split()
+    shuffled = "boat the harbour walks today old with small his the to green man".split()
+    h, d = [], []
+    for t in S.lex(S.pa.array([" ".join(ordered)])):
+        _, both, one, two = S.neighbours(t)
+        h = np.concatenate([both, one, two])
+        d = np.concatenate([np.full(len(both), 40), np.full(len(one) * 2, 80)])
+    at = np.unique(h, return_index=True)[1]
+    part = Part({"": (10**5, 10**4, 0)}, h[at], d[at])
+    a, b, c = part.information([ordered, shuffled, [f"w{i}" for i in "abcdefghijkl"]])
+    assert a > 0.5 and b < -0.8 and c != c
+    assert part.information([]).tolist() == []
+    assert limits({(5, 70): 300, (5, 75): 300, (6, 1): 3}) == {5: limits({(5, 70): 300, (5, 75): 300})[5], 6: limits({(5, 70): 300, (5, 75): 300})[5]}
 
 
 def test_forms():
@@ -61,7 +115,15 @@ def test_forms():
 
 
 def test_phrase_that_is_rare_in_a_large_corpus(spark):
-    rows = [NOTES[0] * 4000] * 12 + [f"{w} zorvex lamp, zorvex lamp shop" for w in ("buy", "get", "find")]
+    filler = [NOTES[0] * 400 + f" {i}" for i in range(300)]
+    rows = filler + [f"{w} zorvex lamp, zorvex lamp shop" for w in ("buy", "get", "find")]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    assert corpus_of(df, "text").floor > 6
-    assert {r.doc_id for r in find_spam(df, "doc_id", "text").collect()} == {12, 13, 14}
+    assert {r.doc_id for r in find_spam(df, "doc_id", "text").collect()} == {300, 301, 302}
+
+
+def test_labels_part_evenly(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 7, 32):
+        at = spark.createDataFrame([(i,) for i in S.labels(spark, n)], "i int").select(F.pmod(F.hash("i"), F.lit(n)).alias("p"))
+        assert at.distinct().count() == n
