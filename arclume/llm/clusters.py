@@ -24,7 +24,8 @@ from arclume.llm.vectors import compare_all, linked, matrix, search, unit, unlin
 from arclume.session import cut
 
 #: A cluster hangs on single links near the threshold, so fewer of them may be missed than in a search of near neighbours.
-MISS, SIGMAS = 1e-3, 4.0
+#: With such a radius, codes must be longer to keep rows that have nothing in common apart.
+MISS, SIGMAS, CODE = 1e-3, 4.0, 3
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def vector_clusters(df: DataFrame, key: str, column: str, threshold: float = 0.8
     ``MISS`` and links of greater similarity less; ``exact`` compares all rows of
     different clusters afterwards, which takes time by the square of the rows.
     """
-    s = search(df, key, [column], threshold, linked, miss=MISS, sigmas=SIGMAS)
+    s = search(df, key, [column], threshold, linked, miss=MISS, sigmas=SIGMAS, code=CODE)
     found = cut(components(s.found.select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))))
 
     if exact:

@@ -41,8 +41,8 @@ SAMPLE = 16_000
 BLOCK, MAX_BLOCKS, CELL = 3_000, 16_384, 16_384
 #: Rows that a substring value holds on average at most, and rows of one value that a task compares.
 BUCKET, CHUNK = 2_048, 65_536
-#: Bits of a code that are compared.
-CODE = 128
+#: 64-bit words of a code that are compared.
+CODE = 2
 #: The chance that two vectors at the threshold share no substring, and deviations of their Hamming distance that the radius allows.
 MISS, SIGMAS = 0.01, 2.5
 #: Rows of a group that is compared with every other group in one task.
@@ -67,6 +67,7 @@ class Model:
     rotations: np.ndarray
     count: int  # of substrings
     bits: int  # of a substring, by the size of the table
+    code: int  # words of a code that are compared
     hot: dict[int, int]  # chunks of the substring values that are split
     cells: np.ndarray  # parts of each block
 
@@ -117,10 +118,10 @@ def differing(threshold: float) -> float:
     return float(np.arccos(np.clip(threshold, -1, 1)) / np.pi)
 
 
-def radius(threshold: float, sigmas: float = SIGMAS) -> int:
-    """The Hamming distance of ``CODE``-bit codes that few pairs at the threshold exceed."""
-    p = differing(threshold)
-    return int(np.ceil(CODE * p + sigmas * np.sqrt(CODE * p * (1 - p))))
+def radius(threshold: float, sigmas: float = SIGMAS, code: int = CODE) -> int:
+    """The Hamming distance of codes of ``code`` words that few pairs at the threshold exceed."""
+    p, n = differing(threshold), 64 * code
+    return int(np.ceil(n * p + sigmas * np.sqrt(n * p * (1 - p))))
 
 
 def substrings(rows: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
@@ -130,7 +131,7 @@ def substrings(rows: int, threshold: float, miss: float = MISS) -> tuple[int, in
     return max(2, int(np.ceil(np.log(miss) / np.log(1 - min(share, 0.999))))), bits
 
 
-def fit(sample: np.ndarray, rows: int, threshold: float = 0.85, miss: float = MISS, seed: int = 7) -> Model:
+def fit(sample: np.ndarray, rows: int, threshold: float = 0.85, miss: float = MISS, code: int = CODE, seed: int = 7) -> Model:
     """The model of a sample of unit vectors of a table with ``rows`` rows."""
     rng = np.random.default_rng(seed)
     x = sample.astype(np.float32)
@@ -139,14 +140,14 @@ def fit(sample: np.ndarray, rows: int, threshold: float = 0.85, miss: float = MI
     mean = x.mean(0)
     v = (x[:4096] - mean).astype(np.float64)
     count, bits = substrings(rows, threshold, miss)
-    length = max(CODE, count * bits)
+    length = max(64 * code, count * bits)
     rotations = np.concatenate([_itq(v, rng) for _ in range(-(-length // dim))], axis=1)[:, :length].astype(np.float32)
-    model = Model(dim, _kmeans(x, k, rng), mean, rotations, count, bits, {}, np.ones(k, np.int64))
+    model = Model(dim, _kmeans(x, k, rng), mean, rotations, count, bits, code, {}, np.ones(k, np.int64))
     # the sample says what has to be split; that decides how the work is spread, not what is found
-    home, code = place(model, x)
+    home, bits_of = place(model, x)
     each = rows / len(x)
     model.cells = np.maximum(1, np.ceil(np.bincount(home, minlength=k) * each / CELL)).astype(np.int64)
-    for j, value in enumerate(_values(model, code)):
+    for j, value in enumerate(_values(model, bits_of)):
         at, n = np.unique(value, return_counts=True)
         often = n * each > CHUNK
         model.hot |= {int(b): int(np.ceil(c * each / CHUNK)) for b, c in zip(at[often], n[often])}
@@ -172,14 +173,14 @@ def _pack(bits: np.ndarray) -> np.ndarray:
 
 
 def index_rows(feat: int, model: Model, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One row per vector and substring: bucket, two words of code, id, home block and side.
+    """One row per vector and substring: bucket, id, home block and side, the words of code.
 
     A split bucket's row goes to every pair of chunks that its own one is in; side 0
     is compared with side 1, and side 2 with its own. The side is the last two bits
-    of the last column.
+    of the third column.
     """
     home, code = place(model, x)
-    words = _pack(code[:, :CODE]).view(np.int64)
+    words = _pack(code[:, : 64 * model.code]).view(np.int64)
     own = ((home + feat * MAX_BLOCKS) << 2).astype(np.int32)
     bucket, side, at = [], [], []
     every = np.arange(len(ids))
@@ -199,7 +200,7 @@ def index_rows(feat: int, model: Model, ids: np.ndarray, x: np.ndarray) -> tuple
                 side.append(np.where(chunk == other, 2, chunk > other).astype(np.int32))
                 at.append(rows)
     to = np.concatenate(at)
-    return np.concatenate(bucket) + (feat << 56), words[to, 0], words[to, 1], ids[to], own[to] + np.concatenate(side)
+    return np.concatenate(bucket) + (feat << 56), ids[to], own[to] + np.concatenate(side), *(words[to, i] for i in range(model.code))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -217,7 +218,7 @@ def _once(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return x[first], y[first]
 
 
-def compare(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray, home: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def compare(bucket: np.ndarray, ids: np.ndarray, home: np.ndarray, words: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
     """(id, block): which foreign blocks hold codes within ``most`` of a row's; rows are sorted by bucket, all rows of a bucket are compared."""
     home, side = home >> 2, home & 3
     out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int32))]
@@ -228,8 +229,9 @@ def compare(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray, h
             continue
         for i in range(p, q, 256):
             r = slice(i, min(i + 256, q))
-            apart = np.bitwise_count(a[r, None] ^ a[None, i:q])
-            apart += np.bitwise_count(b[r, None] ^ b[None, i:q])
+            apart = np.bitwise_count(words[0][r, None] ^ words[0][None, i:q])
+            for w in words[1:]:
+                apart += np.bitwise_count(w[r, None] ^ w[None, i:q])
             u, v = np.nonzero(apart <= most)
             u, v = u + i, v + i
             met = (home[u] != home[v]) & ((side[u] == 2) | (side[u] != side[v]))
@@ -506,7 +508,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(kept)
 
 
-def search(df: DataFrame, key: str, columns: list[str], threshold: float, in_block: Callable, k: int = K, miss: float = MISS, sigmas: float = SIGMAS) -> Search:
+def search(df: DataFrame, key: str, columns: list[str], threshold: float, in_block: Callable, k: int = K, miss: float = MISS, sigmas: float = SIGMAS, code: int = CODE) -> Search:
     """``feat, id_a, id_b, w``: what ``in_block`` finds in the blocks of each vector column; ``feat`` is its place in ``columns``.
 
     Vectors that are null, all zero, not finite, or not of their column's usual
@@ -517,11 +519,12 @@ def search(df: DataFrame, key: str, columns: list[str], threshold: float, in_blo
     spark = df.sparkSession
     slim = df.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("id"), *[F.col(f"`{c}`").cast("array<float>").alias(f"v{i}") for i, c in enumerate(columns)])
     rows = slim.count()
-    models = [fit(s, rows, threshold, miss) if len(s) else None for s in _sample(slim, [f"v{i}" for i in range(len(columns))], rows)]
+    models = [fit(s, rows, threshold, miss, code) if len(s) else None for s in _sample(slim, [f"v{i}" for i in range(len(columns))], rows)]
     # bounded: MAX_BLOCKS centres, a few square matrices and fewer split values than rows of the sample for each substring
     shared = spark.sparkContext.broadcast(models)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    most, held, blocks_per_column = radius(threshold, sigmas), HELD, MAX_BLOCKS
+    most, held, blocks_per_column = radius(threshold, sigmas, code), HELD, MAX_BLOCKS
+    columns_of_index = ["bucket", "id", "home", *(f"w{i}" for i in range(code))]
 
     def usable(b: pa.RecordBatch) -> Iterator[tuple[int, Model, np.ndarray, np.ndarray, np.ndarray]]:
         for f, model in enumerate(shared.value):
@@ -533,7 +536,7 @@ def search(df: DataFrame, key: str, columns: list[str], threshold: float, in_blo
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for f, model, _, ids, m in usable(b):
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in index_rows(f, model, ids, unit(m))], names=["bucket", "a", "b", "id", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in index_rows(f, model, ids, unit(m))], names=columns_of_index)
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -545,7 +548,7 @@ def search(df: DataFrame, key: str, columns: list[str], threshold: float, in_blo
         kept: list[np.ndarray] | None = None
 
         def met(now: list[np.ndarray]) -> pa.RecordBatch:
-            x, y = compare(now[0], now[1].view(np.uint64), now[2].view(np.uint64), now[3], now[4], most)
+            x, y = compare(now[0], now[1], now[2], [w.view(np.uint64) for w in now[3:]], most)
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y.astype(np.int32))], names=["id", "block"])
 
         for b in batches:
@@ -562,7 +565,7 @@ def search(df: DataFrame, key: str, columns: list[str], threshold: float, in_blo
             yield met(kept)
 
     # one index row per vector and substring
-    index = slim.mapInArrow(codes, "bucket long, a long, b long, id long, home int")
+    index = slim.mapInArrow(codes, "bucket long, id long, home int, " + ", ".join(f"w{i} long" for i in range(code)))
     found = index.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(probe, "id long, block int")
     feat = F.floor(F.col("block") / MAX_BLOCKS).cast("int").alias("feat")
     foreign = found.groupBy(feat, "id").agg(F.collect_set("block").alias("foreign"))

@@ -160,10 +160,10 @@ def test_pigeonhole():
             V.CHUNK = V_chunk
         assert (len(model.hot) > 0) == (chunk == 40)
         code = V.place(model, x)[1]
-        bucket, a, b, i, side = V.index_rows(0, model, ids, x)
+        bucket, i, side, *code_words = V.index_rows(0, model, ids, x)
         home = (i << 2) + (side & 3)  # every row is a block
         order = np.argsort(bucket, kind="stable")
-        p, q = V.compare(bucket[order], a[order].view(np.uint64), b[order].view(np.uint64), i[order], home[order], V.CODE)
+        p, q = V.compare(bucket[order], i[order], home[order], [w[order].view(np.uint64) for w in code_words], 64 * V.CODE)
         found = set(zip(p.tolist(), q.tolist()))
         count = model.count
         used = code[:, : count * model.bits]
@@ -215,7 +215,7 @@ def test_exact(spark, monkeypatch, by_value, split):
     monkeypatch.setattr(V, "GROUP", 700)
     monkeypatch.setattr(V, "HELD", 2000)
     monkeypatch.setattr(V, "SIGMAS", -3.0)
-    monkeypatch.setattr(V.search, "__defaults__", (V.K, 0.5, -3.0))
+    monkeypatch.setattr(V.search, "__defaults__", (V.K, 0.5, -3.0, V.CODE))
     if split:
         monkeypatch.setattr(V, "CELL", 60)
     ids, x = hot_table()
@@ -228,7 +228,7 @@ def test_clusters_exact(spark, fixture, monkeypatch, by_value):
     monkeypatch.setattr(V, "BLOCK", 30)
     monkeypatch.setattr(V, "GROUP", 300)
     monkeypatch.setattr(V, "CELL", 20)
-    monkeypatch.setattr(V, "radius", lambda threshold, sigmas: 2)
+    monkeypatch.setattr(V, "radius", lambda threshold, sigmas, code: 2)
     ids, x = fixture
     got = {r.clip_id: r.first_id for r in vector_clusters(frame(spark, ids, x), "clip_id", "v", 0.85, 3, exact=True).collect()}
     assert got == brute_clusters(ids, x, 0.85)
