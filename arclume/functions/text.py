@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
 
 
+def splitext(path: Column) -> Column:
+    """A path without its extension; a dot that opens a name is none."""
+    return F.regexp_replace(path, r"(?s)([^/.])\.[^/.]*\z", "$1")
+
+
 def range_list(text: Column, separator: str) -> Column:
     """``array<struct<s, e>>`` of 'a-b' tokens between separators; other tokens are skipped, reversed ranges are empty.
 
@@ -36,9 +43,34 @@ def any_range_list(text: Column) -> Column:
     return range_list(F.replace(text, F.lit(","), F.lit(";")), ";")
 
 
-def frame_list(ranges: Column) -> Column:
-    """The distinct frames of an array of ranges, sorted."""
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(ranges, lambda r: F.sequence(r["s"], r["e"])))))
+def parse_ranges(text: Column, dialect: str) -> Column:
+    """``range_list`` by the separator of the dialect: commas for "UBnormal", else semicolons."""
+    return range_list(text, "," if dialect == "UBnormal" else ";")
+
+
+def merged_ranges(ranges: Column, universe: Column | None = None) -> Column:
+    """Disjoint, not even adjacent ranges of the same frames, in order; with ``universe`` only frames from 0 to before it. No frame is made."""
+    if universe is not None:
+        ranges = F.filter(F.transform(ranges, lambda r: F.struct(r["s"].alias("s"), F.least(r["e"], (universe - 1).cast("int")).alias("e"))), lambda r: r["s"] <= r["e"])
+    kind = "array<struct<s: int, e: int>>"
+
+    def add(done: Column, r: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.struct(last["s"].alias("s"), F.greatest(last["e"], r["e"]).alias("e"))
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))
+        return F.when(F.size(done) == 0, F.array(r)).when(last["e"] >= r["s"] - 1, joined).otherwise(F.concat(done, F.array(r))).cast(kind)
+
+    return F.aggregate(F.sort_array(ranges.cast(kind)), F.array().cast(kind), add)
+
+
+def covered_frames(merged: Column) -> Column:
+    """How many frames disjoint ranges hold."""
+    return F.aggregate(merged, F.lit(0).cast("long"), lambda n, r: n + r["e"] - r["s"] + 1)
+
+
+def frame_list(ranges: Column, universe: Column) -> Column:
+    """The distinct frames of an array of ranges below ``universe``, sorted; what a range names beyond it is never made."""
+    return F.flatten(F.transform(merged_ranges(ranges, universe), lambda r: F.sequence(r["s"], r["e"])))
 
 
 def range_text(ranges: Column, separator: str = "; ") -> Column:
@@ -56,6 +88,28 @@ def _padded(number: Column, width: int) -> Column:
     return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
 
 
+def image_name(label: Column, counter: Column) -> Column:
+    """'{label}_{counter:04d}'; wider numbers widen the name."""
+    return F.concat(label, F.lit("_"), _padded(counter, 4))
+
+
+def image_path(label: Column, branch: Column, name: Column) -> Column:
+    """'{label}/{branch}/{name}.jpg'."""
+    return F.concat(F.concat_ws("/", label, branch, name), F.lit(".jpg"))
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A template whose {name} and {name:02d} fields hold the columns; a null value makes the text null."""
+    parts = []
+    for text, name, spec, _ in Formatter().parse(template):
+        if text:
+            parts.append(F.lit(text))
+        if name is not None:
+            width = int(spec[1:-1]) if spec else 0
+            parts.append(_padded(values[name], width) if width else values[name].cast("string"))
+    return F.concat(*parts)
+
+
 def parse_frame_name(name: Column) -> Column:
     """struct(video, clip, frame) of a frame's file name; null if it is none. The last '_clip' counts."""
     pattern = r"^(.*)_clip([0-9]{1,9})_([0-9]{1,9})$"
@@ -86,6 +140,16 @@ def clean_answer(text: Column) -> Column:
     return F.when(got != "", got)
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing more; null for null.
+
+    The parser stops after the first value. What follows one inside brackets makes
+    an array longer or an object's member unnamed, so no such text passes both.
+    """
+    listed, held = F.concat(F.lit("["), text, F.lit("]")), F.concat(F.lit('{"x":'), text, F.lit("}"))
+    return F.when(text.isNotNull(), F.try_parse_json(listed).isNotNull() & F.try_parse_json(held).isNotNull())
+
+
 def format_time(seconds: Column) -> Column:
     """'5s', '1m05s' or '2h03m'; fractions of a second are cut."""
     s = F.floor(seconds)
@@ -100,6 +164,16 @@ def progress_bar(done: Column, total: Column, width: int = 20) -> Column:
     return F.concat(F.repeat(F.lit("#"), full), F.repeat(F.lit("-"), F.lit(width) - full))
 
 
+def eta(elapsed: Column, done: Column, total: Column) -> Column:
+    """The time left at the pace so far, as ``format_time`` writes it; '???' before anything is done."""
+    return F.when(done > 0, format_time(elapsed / done * (total - done))).otherwise("???")
+
+
+def percent(done: Column, total: Column) -> Column:
+    """The share done, 0 where there is nothing to do."""
+    return F.when(total > 0, done / total).otherwise(0.0)
+
+
 def context_text(parts: dict[str, Column], plain: Column) -> Column:
     """The scene context: the plain text, or '{time} {location}, {detail}' without hanging commas and blanks."""
     made = F.concat(F.coalesce(parts["time"], F.lit("")), F.lit(" "), F.coalesce(parts["location"], F.lit("")), F.lit(", "), F.coalesce(parts["detail"], F.lit("")))

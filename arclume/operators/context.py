@@ -7,21 +7,62 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from arclume.operators.vector import as_lists, as_matrix, geodesic, normalize, slerp
 
-#: The most corpus rows that are sent to every task at once.
-MOST_SHARED = 100_000
+#: The most bytes of holistic and main vectors that are sent to every task.
+MOST_SHARED = 64 << 20
+#: Values of a column's middle that come to the driver, and parts of a range in each pass before.
+FEW, BINS = 4096, 1024
+
+
+def exact_median(df: DataFrame, value: Column) -> float | None:
+    """The median as the mean of the two middle values; nulls are left out, no value gives null.
+
+    The range that holds the middle is narrowed by counts of its parts until its
+    distinct values are few, so no task sorts or holds them all.
+    """
+    rows = df.select(value.cast("double").alias("x")).where("x is not null and not isnan(x)")
+    n, lo, hi = rows.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return None
+    want, below = [(n - 1) // 2, n // 2], 0
+    while True:
+        inside = rows.where((F.col("x") >= lo) & (F.col("x") <= hi))
+        few = inside.groupBy("x").agg(F.count("*").alias("n")).limit(FEW + 1)
+        width = (hi - lo) / BINS
+        got = few.collect() if n <= FEW or not width > 0 else []
+        if not got and few.count() <= FEW:
+            got = few.collect()
+        if got:
+            values, run = [], below
+            for x, c in sorted((r.x, r.n) for r in got):
+                values += [x for w in want if run <= w < run + c]
+                run += c
+            return sum(values) / 2
+        at = F.least(F.floor((F.col("x") - lo) / width), F.lit(BINS - 1))
+        run, keep = below, []
+        for r in sorted(inside.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect(), key=lambda r: r.bin):
+            if any(run <= w < run + r.n for w in want):
+                keep.append((run, r.lo, r.hi, r.n))
+            run += r.n
+        below, lo, hi, n = keep[0][0], keep[0][1], keep[-1][2], sum(k[3] for k in keep)
+        if len(keep) > 1:
+            # the middle lies on the border of two parts: the greatest of one and the least of the other
+            return (keep[0][2] + keep[1][1]) / 2
 
 
 def ambiguity(df: DataFrame, score: str, scale: float = 1.0) -> tuple[float, float]:
     """(low, high): median of the scores plus and minus the scaled median deviation, within 0 and 1. No scores give (0, 1)."""
-    c = df.agg(F.median(score)).first()[0]
+    c = exact_median(df, F.col(score))
     if c is None:
         return 0.0, 1.0
-    r = scale * df.agg(F.median(F.abs(F.col(score) - F.lit(c)))).first()[0]
+    r = scale * exact_median(df, F.abs(F.col(score) - F.lit(c)))
     return max(0.0, c - r), min(1.0, c + r)
 
 
@@ -40,15 +81,16 @@ def enhance(df: DataFrame, key: str, main: str, holistic: str, alpha: float = 0.
 
     Neighbours are the ``top_k`` other rows of the corpus (default: ``df`` itself)
     whose holistic product is at least ``threshold``, ties to the smaller key; without
-    any the vector stays. A corpus of up to ``MOST_SHARED`` rows is counted and sent
-    to all tasks; a larger one is read by each task block by block, one join of every
-    query row with the list of blocks, and only the ``top_k`` best of a block go on.
+    any the vector stays. A corpus of up to ``MOST_SHARED`` bytes of vectors, which are
+    counted, is sent to all tasks. Of a larger one blocks meet blocks of queries;
+    ids and products alone go on, the best of them per block, and main vectors
+    are fetched for the best of all and averaged before they are gathered.
     """
     corpus = df if corpus is None else corpus
     pick = lambda d: d.select(F.col(key).cast("long").alias("k"), F.col(main).cast("array<double>").alias("m"), F.col(holistic).cast("array<double>").alias("h")).where("k is not null and m is not null and h is not null")
     queries, rows = pick(df), pick(corpus)
-    n = rows.count()
-    if n <= MOST_SHARED:
+    n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("m") + F.size("h")), F.lit(0))).first()
+    if n * width * 8 <= MOST_SHARED:
         got = rows.toArrow()
         shared = df.sparkSession.sparkContext.broadcast((got["k"].to_numpy(), as_matrix(got["h"]), as_matrix(got["m"]))) if n else None
 
@@ -66,35 +108,36 @@ def enhance(df: DataFrame, key: str, main: str, holistic: str, alpha: float = 0.
 
         return queries.mapInArrow(run, "k long, enhanced array<double>").withColumnRenamed("k", key)
 
-    blocks = -(-n // 20_000)
-    left = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("k"), F.lit(blocks)))
-    right = rows.select(F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int").alias("block"), F.col("k").alias("ck"), F.col("m").alias("cm"), F.col("h").alias("ch"))
+    blocks = max(1, -(-n * width * 8 // MOST_SHARED))
+    left = queries.select("k", "h").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("k"), F.lit(blocks)))
+    right = rows.select(F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int").alias("block"), F.col("k").alias("ck"), F.col("h").alias("ch"))
     right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def pair(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(c):
             qi, ci = q["k"].to_numpy(), c["ck"].to_numpy()
-            cm = np.stack(c["cm"])
             for r, at, s in _best((qi, np.stack(q["h"])), (ci, np.stack(c["ch"])), threshold, top_k):
-                out += [(qi[r], ci[a], w, cm[a]) for a, w in zip(at, s, strict=True)]
-        return pd.DataFrame(out, columns=["k", "ck", "s", "cm"])
-
-    near = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(pair, "k long, ck long, s double, cm array<double>")
-    best = near.groupBy("k").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("o"), "ck", "s", "cm"))), 1, top_k).alias("near"))
-
-    def mix(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for m, near in zip(f["m"], f["near"], strict=True):
-                m = np.asarray(m)
-                if near is not None and len(near):
-                    s = np.array([x["s"] for x in near])
-                    m = normalize((1 - alpha) * m + alpha * (s @ np.stack([x["cm"] for x in near])) / s.sum())
-                out.append(m)
-            yield pd.DataFrame({"k": f["k"], "enhanced": out})
+                out += zip(np.full(len(at), qi[r]), ci[at], s)
+        return pd.DataFrame(out, columns=["k", "ck", "s"])
+
+    near = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(pair, "k long, ck long, s double")
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("s"), "ck"))).where(F.col("r") <= top_k)
+    drawn = best.join(rows.select(F.col("k").alias("ck"), F.col("m").alias("cm")), "ck")
+    mean = vector_to_array(Summarizer.mean(array_to_vector("cm"), F.col("s")))
+    means = drawn.groupBy("k").agg(mean.alias("mean"))
+
+    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            m, out = as_matrix(b.column(1)), as_matrix(b.column(1)).copy()
+            has = np.flatnonzero(np.asarray(b.column(2).is_valid()))
+            if len(has):
+                out[has] = normalize((1 - alpha) * m[has] + alpha * as_matrix(b.column(2).take(pa.array(has))))
+            yield pa.RecordBatch.from_arrays([b.column(0), as_lists(out)], names=["k", "enhanced"])
 
-    return queries.join(best, "k", "left").select("k", "m", "near").mapInPandas(mix, "k long, enhanced array<double>").withColumnRenamed("k", key)
+    return queries.join(means, "k", "left").select("k", "m", "mean").mapInArrow(mix, "k long, enhanced array<double>").withColumnRenamed("k", key)
 
 
 def guided_pull(df: DataFrame, video: str, key: str, vector: str, score: str, normal: np.ndarray, abnormal: np.ndarray, low: float, high: float, beta: float, least_abnormal: int = 3, dominant_abnormal: int = 1, dominant_normal: int = 2, only_ambiguous: bool = True) -> DataFrame:
@@ -127,11 +170,15 @@ def guided_pull(df: DataFrame, video: str, key: str, vector: str, score: str, no
             x = np.stack(f["v"])
             s = f["score"].to_numpy()
             moved = x.copy()
-            for i in range(len(f)):
-                if only_ambiguous and not low <= s[i] <= high:
-                    continue
-                own = (abnormal if f["is_abnormal"].iat[i] else normal)[np.asarray(f["dominant"].iat[i])]
-                moved[i] = slerp(x[i][None, :], own[geodesic(x[i][None, :], own)[0].argmin()][None, :], beta)[0]
+            pull = (s >= low) & (s <= high) if only_ambiguous else np.ones(len(f), bool)
+            # rows with the same dominant prototypes are moved as one matrix
+            kinds_of: dict[tuple, list[int]] = {}
+            for i, (abn, dom) in enumerate(zip(f["is_abnormal"], f["dominant"])):
+                if pull[i]:
+                    kinds_of.setdefault((bool(abn), *map(int, dom)), []).append(i)
+            for (abn, *dom), at in kinds_of.items():
+                own = (abnormal if abn else normal)[np.array(dom)]
+                moved[at] = slerp(x[at], own[geodesic(x[at], own).argmin(1)], beta)
             yield pd.DataFrame({"video": f["video"], "key": f["key"], "pulled": list(moved), "is_abnormal": f["is_abnormal"]})
 
     kinds = f"video {df.schema[video].dataType.simpleString()}, key {df.schema[key].dataType.simpleString()}, pulled array<double>, is_abnormal boolean"

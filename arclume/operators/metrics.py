@@ -43,3 +43,14 @@ def ranking_metrics(df: DataFrame, groups: list[str], score: str, label: str) ->
     ap = F.when(F.max("np") > 0, F.sum(F.when(F.col("np") > 0, tp / F.col("np") * ctp / (ctp + cfp))))
     auc = F.when((F.max("np") > 0) & (F.max("nn") > 0), F.sum(F.when((F.col("np") > 0) & (F.col("nn") > 0), F.col("fp") / F.col("nn") * (ctp - tp / 2) / F.col("np"))))
     return r.groupBy(*groups).agg(ap.alias("ap"), auc.alias("auc"))
+
+
+def compared(methods: DataFrame, method: str, values: list[str]) -> DataFrame:
+    """``*, best, <value>_delta``: the method with the highest first value marked, of equals the first by name, and each value's distance to the first method.
+
+    One row a method; there are few.
+    """
+    one = Window.partitionBy(F.lit(0))
+    first = [F.round(F.col(v) - F.first(v).over(one.orderBy(method)), 6).alias(f"{v}_delta") for v in values]
+    rank = F.row_number().over(one.orderBy(F.desc(values[0]), method))
+    return methods.select(method, *values, F.when(rank == 1, "*").otherwise("").alias("best"), *first)

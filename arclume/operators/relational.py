@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from arclume.session import cut
+
 
 def only_with(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``df`` that ``other`` has; each once, however often it has them."""
@@ -59,15 +61,39 @@ def next_index(names: DataFrame, group: Column, name: Column, pattern: str) -> D
     return names.groupBy(group).agg((F.coalesce(F.max(F.when(n != "", n.cast("int"))), F.lit(0)) + 1).alias("next_index"))
 
 
+def positions(df: DataFrame, by: list[str], order: list[str], name: str = "position") -> DataFrame:
+    """``*, name``: each row's place from 0 among the rows of its ``by``, in the order of ``order``, which must be unique there.
+
+    Rows are parted by ranges of both, so neither a long key nor the whole table is
+    one task's work; what is counted per range and key says where a range begins.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = df.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order)
+    # ranges are drawn by a sample: they must be the same for rows and counts
+    placed = cut(sorted_.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
+    counts = placed.groupBy("_p", *by).agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("_p", *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first")).alias("_base"))
+    on = placed["_p"] == base["_p"]
+    for i, c in enumerate(by):
+        on = on & placed[c].eqNullSafe(base[f"_k{i}"])
+    return placed.join(base, on).select(*[placed[c] for c in df.columns], (F.col("_m") + F.col("_base")).alias(name))
+
+
 def split_evenly(df: DataFrame, key: str, order: str, parts: int) -> DataFrame:
     """``part`` 1..parts of each key's rows in order; the remainder goes to the first parts."""
-    return df.withColumn("part", F.ntile(parts).over(Window.partitionBy(key).orderBy(order)))
+    n = df.groupBy(key).agg(F.count("*").alias("_n"))
+    at = positions(df, [key], [order], "_at").join(n, key)
+    low, more = F.floor(F.col("_n") / parts), F.pmod(F.col("_n"), F.lit(parts))
+    first = F.floor(F.col("_at") / (low + 1))
+    part = F.when(F.col("_at") < more * (low + 1), first).otherwise(more + F.floor((F.col("_at") - more * (low + 1)) / F.greatest(low, F.lit(1))))
+    return at.select(*df.columns, (part + 1).cast("int").alias("part"))
 
 
 def packed_batches(df: DataFrame, key: str, order: str, size: int = 50) -> DataFrame:
     """``batch``: every ``size`` rows of a key, in order."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    return positions(df, [key], [order], "_at").select(*df.columns, F.floor(F.col("_at") / size).alias("batch"))
 
 
 def running_offsets(df: DataFrame, order: str, count: str, buckets: int = 64) -> DataFrame:

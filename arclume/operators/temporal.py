@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from arclume.operators.relational import positions
+
 CLIP_LENGTH, MIN_CLIP, SIGMA, TRUNCATE = 24, 4, 52, 4.0
 
 
@@ -53,13 +55,15 @@ def smooth(df: DataFrame, key: str, order: str, value: str, sigma: float = SIGMA
     radius = len(kernel(sigma)) // 2
     if block <= radius:
         raise ValueError("a block must be longer than the kernel's reach")
-    w = Window.partitionBy(key)
     rows = df.select(F.col(key).alias("key"), F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
-    # positions by one window; counts come with it
-    w = Window.partitionBy("key")
-    rows = rows.withColumn("pos", F.row_number().over(w.orderBy("o")) - 1)
     lengths = rows.groupBy("key").agg(F.count("*").alias("n"))
-    rows = rows.join(lengths, "key")
+    longest = lengths.agg(F.max("n")).first()[0] or 0
+    if longest > block:
+        rows = positions(rows, ["key"], ["o"], "pos")
+    else:
+        # every key fits a block, and so its window
+        rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy("o")) - 1)
+    rows = rows.join(lengths, rows["key"].eqNullSafe(lengths["key"])).select(rows["key"], "o", "v", "pos", "n")
     last = F.floor((F.col("n") - 1) / block)
     own = F.floor(F.col("pos") / block)
     # a frame is also sent to the blocks whose reach it lies in
@@ -92,8 +96,11 @@ def smooth(df: DataFrame, key: str, order: str, value: str, sigma: float = SIGMA
 def expand(df: DataFrame, key: str, clip: str, score: str, target: str, length: int = CLIP_LENGTH) -> DataFrame:
     """``key, frame, score`` for each of the first ``target`` frames: a clip's score repeated, the last one beyond the end.
 
-    ``target`` names a column that is constant within a key. Keys without a clip give no frames.
+    ``target`` names a column that is constant within a key. Keys without a clip give
+    no frames, nor does a gap between clips. Each clip makes its own frames, so only
+    one number a key is joined to the clips.
     """
-    top = df.groupBy(key).agg(F.max(clip).alias("last_clip"), F.max(target).alias("n"))
-    frames = top.where("n > 0").select(key, "last_clip", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("frame"))
-    return frames.withColumn(clip, F.least(F.floor(F.col("frame") / length), F.col("last_clip")).cast(df.schema[clip].dataType)).join(df.select(key, clip, score), [key, clip]).select(key, "frame", score)
+    last = df.groupBy(key).agg(F.max(clip).alias("_last"))
+    start = F.col(clip).cast("long") * length
+    end = F.when(F.col(clip) == F.col("_last"), F.col(target)).otherwise(F.least(start + length, F.col(target))).cast("long")
+    return df.join(last, key).where(start < F.col(target)).select(key, F.explode(F.sequence(start, end - 1)).alias("frame"), score)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from arclume.functions.arrays import pad_to_k, sample_indices
-from arclume.functions.text import any_range_list, frame_list
+from arclume.functions.text import any_range_list, covered_frames, merged_ranges
 from arclume.operators.relational import running_offsets
 from arclume.operators.temporal import clips, expand, kernel, smooth, touches
 from arclume.plans.registry import query
@@ -46,8 +46,9 @@ def clip_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 select gt_id, count(*) filter (f < total_frames) as labelled, max(f)::int as last_frame from f group by gt_id""")
 def frame_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotated frames of each video, as far as it reaches."""
-    g = table(spark, sf_dir, "test_gt").select("gt_id", "total_frames", frame_list(any_range_list(F.col("anomaly_ranges"))).alias("f")).where(F.size("f") > 0)
-    return g.select("gt_id", F.size(F.filter("f", lambda x: x < F.col("total_frames"))).cast("long").alias("labelled"), F.array_max("f").alias("last_frame"))
+    g = table(spark, sf_dir, "test_gt").select("gt_id", "total_frames", merged_ranges(any_range_list(F.col("anomaly_ranges"))).alias("r")).where(F.size("r") > 0)
+    inside = merged_ranges(F.col("r"), F.col("total_frames"))
+    return g.select("gt_id", F.when(F.col("total_frames").isNotNull(), covered_frames(inside)).otherwise(0).alias("labelled"), F.element_at("r", -1)["e"].alias("last_frame"))
 
 
 EVENTS = "ev as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, count(*) over (partition by user_id) as n from events where user_id is not null and value is not null)"

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 
@@ -48,3 +52,25 @@ def silent_sessions(events: DataFrame, worker: str, ts: str, gap: str = "300 sec
     timed = events.withWatermark(ts, late) if events.isStreaming else events
     s = F.session_window(ts, gap)
     return timed.groupBy(s, worker).agg(F.count("*").alias("n")).select(worker, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
+def fold_progress(events: DataFrame, worker: str, kind: str, ts: str) -> DataFrame:
+    """``worker, messages, failed, last`` of every worker as a stream: a keyed state that each batch of messages updates.
+
+    The state is three numbers a worker; ``operators.runs.progress`` is the same fold of a table.
+    """
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, failed, last = state.get if state.exists else (0, 0, None)
+        for f in frames:
+            n += len(f)
+            failed += int((f["kind"] == "error").sum())
+            newest = f["ts"].max()
+            if not pd.isna(newest):
+                last = newest if last is None else max(pd.Timestamp(last), newest)
+        state.update((n, failed, None if last is None else pd.Timestamp(last).to_pydatetime()))
+        yield pd.DataFrame({worker: [key[0]], "messages": [n], "failed": [failed], "last": [last]})
+
+    rows = events.select(F.col(worker), F.col(kind).alias("kind"), F.col(ts).alias("ts"))
+    out = f"{worker} {events.schema[worker].dataType.simpleString()}, messages long, failed long, last timestamp"
+    return rows.groupBy(worker).applyInPandasWithState(update, out, "n long, failed long, last timestamp", "update", GroupStateTimeout.NoTimeout)

@@ -5,7 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from arclume.sources import readers, writers
+from arclume.operators import runs
+from arclume.sources import media, readers, testset, writers
 from arclume.streaming import workers
 
 
@@ -50,8 +51,12 @@ def test_sinks(spark, tmp_path):
     writers.write_json(a, str(tmp_path / "j"))
     writers.write_features(a, str(tmp_path / "f"), ["k"])
     assert spark.read.parquet(str(tmp_path / "f")).where("k = 'a'").count() == 1
-    good, bad = writers.split_unreadable(spark.createDataFrame([("[1]",), ("[1,]",), (None,)], "x string"), "x")
-    assert [r.x for r in good.collect()] == ["[1]"] and [r.x for r in bad.collect()] == ["[1,]"]
+    good, bad = writers.split_unreadable(spark.createDataFrame([(x,) for x in ("[1]", "[1,]", "[1], [2]", '["a"], "b": 1', "1] [2", "[]", None)], "x string"), "x")
+    assert [r.x for r in good.collect()] == ["[1]", "[]"] and [r.x for r in bad.collect()] == ["[1,]", "[1], [2]", '["a"], "b": 1', "1] [2"]
+    for _ in range(2):
+        writers.append_log(a, str(tmp_path / "own"))
+    assert sorted(tuple(r) for r in writers.read_log(spark, str(tmp_path / "own"), "v string, k string, t int").collect()) == sorted([("x", "a", 1), ("y", "b", 1)] * 2)
+    assert writers.read_log(spark, str(tmp_path / "none"), "v string").count() == 0
     assert spark.createDataFrame([("aGk=",)], "b string").select(writers.decode_image("b")).first()[0] == b"hi"
 
 
@@ -62,6 +67,16 @@ def test_stream_equals_batch(spark, tmp_path):
     spark.createDataFrame(rows, "user_id int, ts timestamp, event_type string").repartition(3).write.parquet(src)
     batch = spark.read.parquet(src)
     stream = spark.readStream.schema(batch.schema).parquet(src)
+    q = workers.fold_progress(stream, "user_id", "event_type", "ts").writeStream.format("memory").queryName("fold").outputMode("update").option("checkpointLocation", str(tmp_path / "c_fold")).start()
+    try:
+        q.processAllAvailable()
+        last = {}
+        for r in spark.table("fold").collect():
+            if r.messages >= last.get(r.user_id, (0,))[0]:
+                last[r.user_id] = tuple(r)[1:]
+    finally:
+        q.stop()
+    assert last == {r.user_id: tuple(r)[1:] for r in runs.progress(batch, "user_id", "event_type", "ts").collect()}
     for name, of in (("counts", lambda d: workers.windowed_counts(d, "ts", "event_type")), ("silent", lambda d: workers.silent_sessions(d, "user_id", "ts"))):
         q = of(stream).writeStream.format("memory").queryName(name).outputMode("complete" if name == "counts" else "append").option("checkpointLocation", str(tmp_path / f"c_{name}")).start()
         try:
@@ -91,3 +106,29 @@ def test_checkpoint_folder():
     from arclume.session import is_local
 
     assert is_local("local") and is_local("local[4]") and not is_local("local-cluster[3,2,3000]") and not is_local("yarn")
+
+
+def test_pair_index(spark, tmp_path):
+    """The byte order mark is no part of a name, the last line counts, and a missing file is empty."""
+    (tmp_path / "i.csv").write_bytes("\ufeffpair_id,n\na,1\nb,2\na,3\n".encode())
+    got = readers.read_pair_index(spark, str(tmp_path / "i.csv"), "pair_id string, n int", "pair_id")
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 3), ("b", 2)]
+    assert readers.read_pair_index(spark, str(tmp_path / "none.csv"), "pair_id string, n int", "pair_id").count() == 0
+
+
+def test_media(spark, tmp_path):
+    df = spark.createDataFrame([("a", b"xy"), ("b", b"q"), (None, b"z")], "name string, data binary")
+    assert sorted(tuple(r) for r in media.write_images(df, "name", "data", str(tmp_path / "img")).collect()) == [("a", 2), ("b", 1)]
+    assert sorted((r.path[-1], bytes(r.content)) for r in media.read_images(spark, str(tmp_path / "img")).collect()) == [("a", b"xy"), ("b", b"q")]
+
+    def fail(path):
+        raise ValueError(path)
+
+    assert [r.n_frames for r in media.probe_frames(df, "name", fail).collect()] == [-1, -1, -1]
+
+    def broken(prompt, attempt):
+        raise OSError("read timed out")
+
+    assert [(r.data, r.error, r.attempts) for r in media.call_model(df, "name", broken, 3).collect()] == [(None, "TIMEOUT: read timed out", 3)] * 2 + [(None, "NO_PROMPT", 0)]
+    with pytest.raises(KeyError):
+        testset.anomaly_column(df)

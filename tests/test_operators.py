@@ -23,11 +23,11 @@ def one(spark, *cols):
 
 @pytest.mark.parametrize("text,frames", [("50-52;60-61", [50, 51, 52, 60, 61]), ("50-52; 60-61", [50, 51, 52, 60, 61]), ("10-5", []), ("0", []), ("", []), (None, []), ("1-2-3;7-8", [7, 8]), ("a-b;3-4", [3, 4]), ("12.5-13;1-1", [1]), ("1-5,7-9", []), (" +1 - 2 ", [1, 2])])
 def test_strict_ranges(spark, text, frames):
-    assert one(spark, T.frame_list(T.range_list(F.lit(text).cast("string"), ";")))[0] == frames
+    assert one(spark, T.frame_list(T.range_list(F.lit(text).cast("string"), ";"), F.lit(10_000)))[0] == frames
 
 
 def test_either_separator(spark):
-    assert one(spark, T.frame_list(T.any_range_list(F.lit("1-3,7-9"))))[0] == [1, 2, 3, 7, 8, 9]
+    assert one(spark, T.frame_list(T.any_range_list(F.lit("1-3,7-9")), F.lit(9)))[0] == [1, 2, 3, 7, 8]
 
 
 @pytest.mark.parametrize("n,count", [(0, 0), (3, 0), (4, 1), (24, 1), (27, 1), (28, 2), (50, 2), (52, 3)])
@@ -135,7 +135,7 @@ def test_enhance_in_one_piece_and_in_blocks(spark, monkeypatch):
         at = [j for j in sorted(range(90), key=lambda j: (-s[i, j], j)) if j != i and s[i, j] >= 0.3][:4]
         if at:
             want[i] = V.normalize(0.6 * m[i] + 0.4 * (s[i, at] @ m[at]) / s[i, at].sum())
-    for most in (1000, 10):
+    for most in (1 << 20, 2000):
         monkeypatch.setattr(context, "MOST_SHARED", most)
         got = {r.id: r.enhanced for r in context.enhance(df, "id", "m", "h", 0.4, 0.3, 4).collect()}
         assert np.array([got[i] for i in range(90)]) == pytest.approx(want)
@@ -165,3 +165,57 @@ def test_relational_edges(spark):
     offsets = relational.running_offsets(spark.createDataFrame([(i * 7, i) for i in range(100)], "o long, n long"), "o", "n", 8).orderBy("o").toPandas()
     assert list(offsets["end_at"]) == list(pd.Series(range(100)).cumsum())
     assert relational.running_offsets(spark.createDataFrame([], "o long, n long"), "o", "n").collect() == []
+
+
+def test_merged_ranges(spark):
+    def merged(pairs, universe=None):
+        a = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(e).alias("e")) for s, e in pairs]) if pairs else F.array().cast("array<struct<s: int, e: int>>")
+        m = T.merged_ranges(a, None if universe is None else F.lit(universe))
+        r = spark.range(1).select(m.alias("m"), T.covered_frames(m).alias("n")).first()
+        return [tuple(x) for x in r.m], r.n
+
+    assert merged([]) == ([], 0)
+    assert merged([(5, 9), (1, 3), (4, 4), (20, 30), (22, 25)]) == ([(1, 9), (20, 30)], 20)
+    assert merged([(1, 999_999_999), (3, 4)], 10) == ([(1, 9)], 9)  # a range of a billion frames makes none of them
+    assert merged([(12, 15)], 10) == ([], 0)
+
+
+def test_positions(spark):
+    rows = [("a", i) for i in range(500)] + [("b", 3), (None, 1), (None, 2)]
+    df = spark.createDataFrame(rows, "k string, o int").repartition(7)
+    got = sorted((str(r.k), r.o, r.position) for r in relational.positions(df, ["k"], ["o"]).collect())
+    assert got == sorted([("a", i, i) for i in range(500)] + [("b", 3, 0), ("None", 1, 0), ("None", 2, 1)])
+    assert [r.position for r in relational.positions(df.where("k = 'a'"), [], ["o"]).orderBy("o").collect()] == list(range(500))
+    assert relational.positions(df.limit(0), ["k"], ["o"]).count() == 0
+
+
+def test_exact_median(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(context, "FEW", 10)
+    monkeypatch.setattr(context, "BINS", 8)
+    for values in (rng.standard_normal(1001), rng.standard_normal(1000), rng.integers(0, 3, 500) * 1.0, np.full(50, 2.5), np.array([1.0, 2.0]), np.array([7.0]), np.concatenate([np.zeros(500), rng.random(500) + 5]), np.exp(rng.standard_normal(3000) * 9)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "s double")
+        assert context.exact_median(df, F.col("s")) == np.median(values)
+    assert context.exact_median(spark.createDataFrame([(None,)], "s double"), F.col("s")) is None
+
+
+def test_kmeans_here_and_there(spark, monkeypatch):
+    from arclume.operators import prototypes
+
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(rng.standard_normal((300, 5)))], "id long, v array<double>").repartition(3)
+    for spherical in (True, False):
+        here = kmeans(df, "id", "v", 4, 12, spherical)
+        monkeypatch.setattr(prototypes, "HERE", 0)
+        assert np.allclose(here, kmeans(df, "id", "v", 4, 12, spherical), atol=1e-9)
+        monkeypatch.undo()
+
+
+def test_smoothing_of_a_long_key(spark):
+    """A key longer than a block is ranked and smoothed in parts."""
+    rng = np.random.default_rng(8)
+    x = rng.random(700)
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)] + [("b", 0, 1.0)], "k string, o int, v double").repartition(5)
+    got = {(r.k, r.pos): r.smoothed for r in temporal.smooth(df, "k", "o", "v", 5, block=100).collect()}
+    want = temporal.smooth_values(x, 5)
+    assert all(abs(got["a", i] - w) < 1e-12 for i, w in enumerate(want)) and got["b", 0] == 1.0
