@@ -2,7 +2,11 @@ import json
 
 import pyarrow.parquet as pq
 
-from arclume.operators.nested import label_nodes, link_nodes, node_table
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from arclume.operators.nested import dump_deep, label_nodes, link_nodes, node_table, parse_deep, unreadable
 from arclume.plans.problems import p1_found
 
 
@@ -66,6 +70,7 @@ BODIES = {
     7: '{"pairs": null}',
     8: '{"pairs": {"pair_id": "p"}}',
     9: '{"pair_id": "p", "shared_context": null, "normal_branch": {"frames": [null, {"text": "t", "cues": [null, "c"]}, {"name": "F", "text": " "}]}, "branches": [null, {"branch": "normal", "frames": {"F": {"text": "x"}}}]}',
+    11: '{"pair_id": "deep", "x": ' + "[" * 100000 + "]" * 100000 + ', "shared_context": {"Pchar": ' + '{"a":' * 50000 + "1" + "}" * 50000 + "}}",
     10: json.dumps([{"shared_context": {"Pchar": [None, {"role": None, "carried": [{"thing": "x"}] * 5000}]}}]),
 }
 
@@ -76,7 +81,12 @@ def test_cases(spark):
     rows = {}
     for r in linked.collect():
         rows.setdefault(r.rec, []).append(r)
-    assert set(rows) == {6, 8, 9, 10}
+    assert set(rows) == {6, 8, 9, 10, 11}
+    assert sorted((r.kind, r.name) for r in rows[11]) == [("character", "1"), ("pair", "")]
+    # every node counts: the pair closes after all nodes in it, 100,000 arrays among them
+    assert max(r.post for r in rows[11]) > 150000
+    dead = {r.raw_id: r.reason for r in unreadable(df, "raw_id", "body").collect()}
+    assert dead == {1: "null", 2: "invalid", 3: "invalid", 4: "invalid", 5: "invalid"}
     assert [(r.kind, r.pair_no) for r in rows[6]] == [("pair", 5)]
     assert sorted((r.kind, r.branch, r.name) for r in rows[9]) == [("branch", "normal", "normal"), ("branch", "normal", "normal"), ("cue", "normal", "/2"), ("frame", "normal", ""), ("frame", "normal", "F"), ("pair", "", "")]
     assert sum(r.kind == "carried" and r.name.startswith("2/") for r in rows[10]) == 5000
@@ -92,3 +102,21 @@ def test_cases(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "raw_id long, body string")
     assert link_nodes(label_nodes(df, "raw_id", "body")).collect() == []
+
+
+VALUES = st.recursive(st.none() | st.booleans() | st.integers(-(10**20), 10**20) | st.floats(allow_nan=False, allow_infinity=False) | st.text(), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(), x, max_size=4), max_leaves=20)
+
+
+@settings(max_examples=200, deadline=None)
+@given(VALUES, st.integers(0, 3))
+def test_deep_parser(value, indent):
+    text = json.dumps(value, ensure_ascii=False, indent=indent or None)
+    assert parse_deep(text) == value == json.loads(dump_deep(value)) and dump_deep(value) == json.dumps(value, ensure_ascii=False)
+    for cut in (text[:-1], text + "]", text + " 1"):
+        try:
+            want = json.loads(cut)
+        except ValueError:
+            with pytest.raises(ValueError):
+                parse_deep(cut)
+        else:
+            assert parse_deep(cut) == want
