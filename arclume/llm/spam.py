@@ -196,6 +196,8 @@ class Part:
         if share >= AGAIN and len(set(known)) < len(known):
             return True
         # a collocation said twice may be an accident of the story; with a word of the lexicon, or said often, it is not
+        if not known and len(ws) - len(set(ws)) < OFTEN:
+            return False  # nothing can be said so often
         again, most = repeated(ws, self.common)
         return again >= REPEATED and (bool(known) or most >= OFTEN)
 
@@ -237,10 +239,10 @@ def _dedupe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``part, k, g, n, d, s`` of the words (``k``) and of hashed words and neighbours (``g``) of a task's texts, a text of several copies once."""
     nothing = frozenset()
-    held: dict[int, dict[str, list[int]]] = {}
+    held: dict[int, tuple[Counter, Counter, Counter]] = {}
 
     def given() -> pa.RecordBatch:
-        rows = [(p, k, 0, *c) for p, own in held.items() for k, c in own.items()]
+        rows = [(p, k, 0, c, d[k], s[k]) for p, (n, d, s) in held.items() for k, c in n.items()]
         held.clear()
         cols = list(zip(*rows, strict=True)) or [()] * 6
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _COUNTED, strict=True)], names=["part", "k", "g", "n", "d", "s"])
@@ -248,25 +250,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _dedupe(batches):
         parts, plain = b.column(1).to_numpy(), []
         for part, t in zip(parts.tolist(), b.column(2).to_pylist()):
-            own = held.setdefault(part, {})
-            n: Counter = Counter()
+            n, d, s = held.setdefault(part, (Counter(), Counter(), Counter()))
             bad: set[str] = set()
-            each = []
+            each, all_ = [], []
             for u in units(t):
                 ws = words(u)
                 each.append(ws)
-                n.update(ws)
+                all_ += ws
                 if form(u, ws) or repeated(ws, nothing)[0] >= REPEATED:
                     bad.update(ws)
             plain.append(strung(each))
-            n[""] = sum(map(len, each))
-            for k, c in n.items():
-                row = own.get(k)
-                if row is None:
-                    own[k] = row = [0, 0, 0]
-                row[0] += c
-                row[1] += 1
-                row[2] += k in bad
+            n.update(all_)
+            n[""] += len(all_)
+            d.update({"", *all_})
+            s.update(bad)
         for t in lex(pa.array(plain, pa.string())):
             row, both, _, _ = neighbours(t)
             at = np.flatnonzero(t.kind == WORD)
@@ -281,7 +278,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
             d, zero = np.diff(np.append(begin, len(h))), pa.array(np.zeros(len(begin), np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(part[begin], pa.int32()), pa.nulls(len(begin), pa.string()), pa.array(h[begin].view(np.int64)), zero, pa.array(d), zero], names=["part", "k", "g", "n", "d", "s"])
-        if sum(map(len, held.values())) > HELD:
+        if sum(len(n) for n, _, _ in held.values()) > HELD:
             yield given()
     yield given()
 
