@@ -118,7 +118,8 @@ def join(left: Part, right: Part, window: int = 64) -> Part:
         head, _ = _take_bytes(left, len(a[lo:].encode()), True)
         _, tail = _take_bytes(right, len(b[: hi - cut].encode()), False)
         return Part(enc, text, head + enc.encode_ordinary(text[lo:hi]) + tail)
-    if (run := _run(text, cut)) is not None:
+    # the library's own merging of one piece; without it a run is encoded whole
+    if hasattr(getattr(left.enc, "_core_bpe", None), "encode_single_piece") and (run := _run(text, cut)) is not None:
         return Part(enc, text, _join_run(left, right, *run))
     # long stretches of mixed characters without a sure boundary are encoded whole
     return Part(enc, text)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arclume.llm.clusters import average_linkage, describe, vector_clusters
-from arclume.llm.containers import pack
+from arclume.llm.containers import CAPACITY, pack
 from arclume.llm.encoding import encode_corpus
 from arclume.llm.neardup import similar_pairs
 from arclume.llm.residue import find_residue
@@ -64,6 +64,19 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes, "doc_id", "n_tokens")
 
 
+def p9_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of the containers: documents, overfull containers, documents not placed once and whole, and whether containers are within a hundredth of what the tokens need."""
+    sizes = cut(p8_ids(spark, sf_dir).select("doc_id", F.size("ids").cast("long").alias("size")))
+    placed = cut(pack(sizes, "doc_id", "size"))
+    loads = placed.where("container_id is not null").groupBy("container_id").agg(F.sum("n").alias("load"))
+    full = loads.agg(F.count_if(F.col("load") > CAPACITY).alias("overfull"), F.count("*").alias("containers"), F.coalesce(F.sum("load"), F.lit(0)).alias("tokens"))
+    own = placed.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.col("start") + F.col("n")).alias("end"), F.min("start").alias("start"))
+    whole = (F.col("n") == F.col("size")) & (F.col("end") == F.col("size")) & (F.col("start") == 0) & (F.col("parts") == F.greatest(F.lit(1), F.ceil(F.col("size") / CAPACITY)))
+    right = sizes.join(own, "doc_id", "left").agg(F.count("*").alias("documents"), F.count_if(~F.coalesce(whole, F.lit(False))).alias("misplaced"))
+    one = F.lit(1).alias("one")
+    return right.select("*", one).join(full.select("*", one), "one").select("documents", "overfull", "misplaced", (F.col("containers") <= F.ceil(F.col("tokens") / CAPACITY) * 1.01 + 1).alias("tight"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are spam."""
     return find_spam(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").select("doc_id")
@@ -71,7 +84,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The problem queries of this subpackage."""
-    return {f.__name__: f for f in (p2_found, p2_linkage, p2_typical, p3_found, p4_found, p5_found, p8_ids, p9_containers, p10_found)}
+    return {f.__name__: f for f in (p2_found, p2_linkage, p2_typical, p3_found, p4_found, p5_found, p8_ids, p9_containers, p9_valid, p10_found)}
 
 
 def _units_sql(column: str) -> str:
@@ -99,6 +112,7 @@ m as (select id, min(root) as root from r group by id),
 n as (select root from m group by root having count(*) >= 3)
 select id as clip_id, root as first_id from m where root in (select root from n)
 """,
+        "p9_valid": "select count(*) as documents, 0 as overfull, 0 as misplaced, true as tight from documents",
         "p4_found": _nearest_sql("feat_vis_last") + " union all " + _nearest_sql("feat_last_token"),
         "p5_found": r"""
 with w as (select log_id, list_distinct(regexp_extract_all(lower(full_prompt), '[a-z0-9]+')) as ws from success_log where full_prompt is not null),
