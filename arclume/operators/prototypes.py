@@ -9,13 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arclume.operators import vector
 from arclume.operators.vector import as_lists, as_matrix, normalize
 
 
-#: Bytes of vectors that may come to the driver.
-HERE = 32 << 20
-
-
 def _farthest(df: DataFrame, key: str, column: str, centres: np.ndarray, spherical: bool) -> np.ndarray:
     """The row farthest from all centres, ties to the smallest key: one candidate per task, the best of them to the driver."""
 
@@ -70,13 +67,13 @@ def kmeans(df: DataFrame, key: str, column: str, k: int, iterations: int = 100,
 
     A row goes to its nearest prototype, ties to the first; an empty prototype
     stays where it is; rounds end early when nothing moves. Rows with a null key or
-    vector are left out. Each round shuffles k sums per task. Up to ``HERE`` bytes of
+    vector are left out. Each round shuffles k sums per task. Up to ``vector.HERE`` bytes of
     vectors, which are counted, the same rounds are made on the driver, as a job a
     round would take longer than the round.
     """
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(column).cast("array<double>").alias("v")).where("k is not null and v is not null").persist()
     n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    if 0 < n * width * 8 <= HERE:
+    if 0 < n * width * 8 <= vector.HERE:
         got = rows.toArrow()
         rows.unpersist()
         return _local(got["k"].to_numpy(), as_matrix(got["v"]), k, iterations, spherical)

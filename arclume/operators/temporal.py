@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,26 +73,48 @@ def smooth(df: DataFrame, key: str, order: str, value: str, sigma: float = SIGMA
     high = F.least(last, F.floor((F.col("pos") + radius) / block))
     sent = rows.withColumn("block", F.explode(F.sequence(low, high))).withColumn("own", F.col("block") == own)
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("pos")
-        pos, n, mine = f["pos"].to_numpy(), int(f["n"].iloc[0]), f["own"].to_numpy()
-        x = f["v"].to_numpy()
+    def one(pos: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+        """The smoothed values of one block's frames, of which the outer ones may lack neighbours."""
+        if len(x) == n:
+            return smooth_values(x, sigma)
         wts = kernel(sigma)
         r = len(wts) // 2
-        if len(f) == n:
-            out = smooth_values(x, sigma)[mine]
-        else:
-            # mirror only at the true ends of the key
-            left = x[: r][::-1] if pos[0] == 0 else x[:0]
-            right = x[-r:][::-1] if pos[-1] == n - 1 else x[:0]
-            padded = np.concatenate([left, x, right])
-            full = np.convolve(padded, wts, mode="same")[len(left) : len(left) + len(x)]
-            out = full[mine]
-        g = f[mine]
-        return pd.DataFrame({"key": g["key"].to_numpy(), "pos": g["pos"].to_numpy(), "value": g["v"].to_numpy(), "smoothed": out})
+        # mirror only at the true ends of the key
+        left = x[:r][::-1] if pos[0] == 0 else x[:0]
+        right = x[-r:][::-1] if pos[-1] == n - 1 else x[:0]
+        return np.convolve(np.concatenate([left, x, right]), wts, mode="same")[len(left) : len(left) + len(x)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+
+        def smoothed(t: pa.Table, last: bool) -> tuple[pa.Table | None, pa.Table]:
+            """The frames of all blocks that end in ``t``, and the rest."""
+            pos, block, n, mine = (t[c].to_numpy(zero_copy_only=False) for c in ("pos", "block", "n", "own"))
+            begin = np.flatnonzero(np.concatenate([[True], (pos[1:] != pos[:-1] + 1) | (block[1:] != block[:-1])]))
+            ends = np.append(begin[1:], len(pos))
+            if not last:
+                begin, ends = begin[:-1], ends[:-1]
+            upto = int(ends[-1]) if len(ends) else 0
+            x = t["v"].to_numpy()
+            out = np.concatenate([one(pos[i:j], x[i:j], int(n[i])) for i, j in zip(begin, ends)]) if upto else np.zeros(0)
+            at = pa.array(np.flatnonzero(mine[:upto]))
+            done = t.slice(0, upto).take(at)
+            return pa.table({"key": done["key"], "pos": done["pos"], "value": done["v"], "smoothed": pa.array(out).take(at)}), t.slice(upto)
+
+        for b in batches:
+            if b.num_rows:
+                kept.append(b)
+                if sum(x.num_rows for x in kept) >= block:
+                    done, rest = smoothed(pa.Table.from_batches(kept), False)
+                    kept = rest.combine_chunks().to_batches()
+                    yield from done.to_batches()
+        if kept:
+            yield from smoothed(pa.Table.from_batches(kept), True)[0].to_batches()
 
     kind = df.schema[key].dataType.simpleString()
-    return sent.groupBy("key", "block").applyInPandas(run, f"key {kind}, pos long, value double, smoothed double").withColumnRenamed("key", key)
+    # blocks lie one after another in a task; a block ends where the places or the block's number jump
+    placed = sent.select("key", F.col("block").cast("long").alias("block"), F.col("pos").cast("long").alias("pos"), "own", "v", F.col("n").cast("long").alias("n")).repartition("key", "block").sortWithinPartitions("key", "block", "pos")
+    return placed.mapInArrow(run, f"key {kind}, pos long, value double, smoothed double").withColumnRenamed("key", key)
 
 
 def expand(df: DataFrame, key: str, clip: str, score: str, target: str, length: int = CLIP_LENGTH) -> DataFrame:

@@ -17,6 +17,10 @@ KAPPA = 1 / 0.3
 CLAMP, NORM_FLOOR, TANGENT_FLOOR = 1 - 1e-7, 1e-12, 1e-8
 
 
+#: Bytes of vectors that may come to the driver.
+HERE = 32 << 20
+
+
 def as_matrix(lists: pa.Array) -> np.ndarray:
     """Rows of equal length as a matrix."""
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
@@ -119,8 +123,27 @@ def vector_mean(df: DataFrame, column: str, fn: Callable[[np.ndarray], np.ndarra
     return np.array([r.x for r in rows]) / rows[0].n, rows[0].n
 
 
+def few_vectors(df: DataFrame, column: str) -> np.ndarray | None:
+    """The vectors as a matrix, if they are counted to be no more than ``HERE`` bytes; nulls are left out."""
+    rows = df.select(F.col(column).cast("array<double>").alias("v")).where("v is not null")
+    n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    return as_matrix(rows.toArrow()["v"]) if n * width * 8 <= HERE else None
+
+
 def frechet_mean(df: DataFrame, column: str, iterations: int = 5) -> np.ndarray:
-    """The mean direction on the sphere, by a fixed number of steps from the normalised mean. No rows give an empty vector."""
+    """The mean direction on the sphere, by a fixed number of steps from the normalised mean. No rows give an empty vector.
+
+    Each step is a job that sums where the vectors lie; few vectors take their steps on the driver.
+    """
+    few = few_vectors(df, column)
+    if few is not None:
+        if not len(few):
+            return np.zeros(0)
+        x = normalize(few)
+        mu = normalize(x.mean(0))
+        for _ in range(iterations):
+            mu = exp_map(log_map(x, mu).mean(0), mu)
+        return mu
     mean, n = vector_mean(df, column, normalize)
     if not n:
         return mean

@@ -37,9 +37,10 @@ def report(clips: DataFrame, normal_k: int = 3, abnormal_k: int = 5, sigma: floa
     long = cut(all_scores.select("*", F.explode(F.array(*[F.struct(F.lit(f"M{i}").alias("method"), F.col(f"s{i}").alias("score")) for i in (1, 2, 3)])).alias("z")).select("video_id", "clip_idx", "abnormal", "z.method", "z.score"))
     frames = long.select(F.concat_ws("/", "method", "video_id").alias("track"), "method", "abnormal", "score", (F.col("clip_idx") * CLIP_LENGTH).alias("f0")).withColumn("frame", F.explode(F.sequence(F.col("f0"), F.col("f0") + CLIP_LENGTH - 1)))
     numbered = smooth(frames, "track", "frame", "score", sigma)
-    labels = frames.groupBy("track", "frame").agg(F.first("abnormal").alias("abnormal"))
-    w = labels.withColumn("pos", F.row_number().over(Window.partitionBy("track").orderBy("frame")) - 1)
-    joined = numbered.join(w, ["track", "pos"]).withColumn("method", F.substring_index("track", "/", 1))
+    # frames of a track are those of its clips in order, so a frame's place gives the clip's
+    rank = F.row_number().over(Window.partitionBy("track").orderBy("clip_idx")) - 1
+    labels = long.select(F.concat_ws("/", "method", "video_id").alias("track"), "abnormal", "clip_idx").select("track", "abnormal", rank.alias("rank"))
+    joined = numbered.withColumn("rank", F.floor(F.col("pos") / CLIP_LENGTH)).join(labels, ["track", "rank"]).withColumn("method", F.substring_index("track", "/", 1))
     frame = ranking_metrics(joined, ["method"], "smoothed", "abnormal")
     video_scores = long.groupBy("method", "video_id").agg(F.max("score").alias("score"), F.max("abnormal").alias("abnormal"))
     video = ranking_metrics(video_scores, ["method"], "score", "abnormal").select(F.col("method").alias("vm"), F.col("auc").alias("video_auc"))

@@ -200,15 +200,16 @@ def test_exact_median(spark, monkeypatch):
 
 
 def test_kmeans_here_and_there(spark, monkeypatch):
-    from arclume.operators import prototypes
-
     rng = np.random.default_rng(7)
     df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(rng.standard_normal((300, 5)))], "id long, v array<double>").repartition(3)
     for spherical in (True, False):
         here = kmeans(df, "id", "v", 4, 12, spherical)
-        monkeypatch.setattr(prototypes, "HERE", 0)
+        monkeypatch.setattr(V, "HERE", 0)
         assert np.allclose(here, kmeans(df, "id", "v", 4, 12, spherical), atol=1e-9)
         monkeypatch.undo()
+    here = V.frechet_mean(df, "v")
+    monkeypatch.setattr(V, "HERE", 0)
+    assert np.allclose(here, V.frechet_mean(df, "v"), atol=1e-12)
 
 
 def test_smoothing_of_a_long_key(spark):
