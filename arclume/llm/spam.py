@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -130,11 +130,6 @@ def bucket(n: int) -> int:
     return n.bit_length()
 
 
-def strung(units_: list[list[str]]) -> str:
-    """Units as one text whose marks keep the neighbours of two units apart."""
-    return " . ".join(map(" ".join, units_))
-
-
 def neighbours(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(place in the column, hash of both, of the first, of the second) of every two words in a row; numbers are no words."""
     at = np.flatnonzero((t.row[1:] == t.row[:-1]) & (t.kind[1:] == WORD) & (t.kind[:-1] == WORD))
@@ -162,15 +157,15 @@ class Part:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, self.texts_with[at] - 1.0, 0.0)
 
-    def information(self, units_: list[list[str]]) -> np.ndarray:
-        """Mean normalised pointwise mutual information of each unit's neighbours, -1 to 1.
+    def information(self, units_: list[str]) -> np.ndarray:
+        """Mean normalised pointwise mutual information of each unit's neighbours, -1 to 1; a unit is its words with blanks between.
 
         The text that is judged is left out of the counts, so neighbours that no
         other text has score -1. NaN where too few neighbours are words that other
         texts have, as in names, codes or a language hardly met.
         """
         total, n, sums = max(self.texts, 2), np.zeros(len(units_)), np.zeros(len(units_))
-        for t in lex(pa.array(list(map(" ".join, units_)), pa.string())):
+        for t in lex(pa.array(units_, pa.string())):
             row, both, one, two = neighbours(t)
             na, nb = self.others(one), self.others(two)
             known = (na >= KNOWN) & (nb >= KNOWN)
@@ -180,39 +175,39 @@ class Part:
             score[seen] = np.clip(np.log(nab[seen] * total / (na[seen] * nb[seen])) / np.maximum(-np.log(nab[seen] / total), 1e-9), -1, 1)
             n += np.bincount(row, minlength=len(units_))
             sums += np.bincount(row, weights=score, minlength=len(units_))
-        enough = n >= np.maximum(1, MOST_KNOWN * (np.array([len(u) for u in units_]) - 1))
+        enough = n >= np.maximum(1, MOST_KNOWN * np.array([u.count(" ") for u in units_]))
         return np.where(enough, sums / np.maximum(n, 1), np.nan)
 
-    def spam(self, unit: str, ws: list[str]) -> bool:
-        """Whether a unit is made for search engines, by its form, its words or its repetitions."""
-        if form(unit, ws):
-            return True
-        if not ws:
-            return False
+    def spam(self, ws: list[str], again: bool) -> bool:
+        """Whether a unit that is no list is made for search engines, by its words or its repetitions; without ``again`` it repeats too little whatever is common."""
         known = [w for w in ws if w in self.lexicon]
-        share = len(known) / len(ws)
-        if share >= LEXICAL or share >= DENSE and len(ws) >= 4:
-            return True
-        if share >= AGAIN and len(set(known)) < len(known):
-            return True
+        if known:
+            share = len(known) / len(ws)
+            if share >= LEXICAL or share >= DENSE and len(ws) >= 4:
+                return True
+            if share >= AGAIN and len(set(known)) < len(known):
+                return True
+        if not again:
+            return False
         # a collocation said twice may be an accident of the story; with a word of the lexicon, or said often, it is not
-        if not known and len(ws) - len(set(ws)) < OFTEN:
-            return False  # nothing can be said so often
-        again, most = repeated(ws, self.common)
-        return again >= REPEATED and (bool(known) or most >= OFTEN)
+        share, most = repeated(ws, self.common)
+        return share >= REPEATED and (bool(known) or most >= OFTEN)
+
+    def judge(self, texts: Iterable[list[tuple[str, int, bool, bool]]]) -> tuple[list[list], Counter]:
+        """([characters, those in spam units, (class, information, characters) of other units that may be incoherent] of each text, units by class and hundredth of information).
 
-    def judge(self, texts: list[str]) -> tuple[list[list], Counter]:
-        """([characters, those in spam units, (class, information, characters) of other units that may be incoherent] of each text, units by class and hundredth of information)."""
+        A text is its units: words, characters, whether it is a list by its form, and whether it repeats itself.
+        """
         rows, open_, of = [], [], []
         for i, text in enumerate(texts):
             whole = bad = 0
-            for u in units(text):
-                n, ws = solid(u), words(u)
+            for w, n, listed, again in text:
+                ws = w.split(" ") if w else []
                 whole += n
-                if self.spam(u, ws):
+                if listed or ws and self.spam(ws, again):
                     bad += n
                 elif len(ws) >= LEAST:
-                    open_.append(ws)
+                    open_.append(w)
                     of.append((i, bucket(len(ws)), n))
             rows.append([whole, bad, []])
         spread: Counter = Counter()
@@ -224,6 +219,34 @@ class Part:
         return rows, spread
 
 
+_UNIT = pa.struct([("w", pa.string()), ("n", pa.int32()), ("f", pa.bool_()), ("a", pa.bool_())])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``h, part, units``: the texts as units, each with its words (``w``), its characters, whether it is a list by its form and whether it repeats itself."""
+    nothing = frozenset()
+    for b in batches:
+        cols: tuple[list, ...] = ([], [], [], [])
+        ends = [0]
+        for t in b.column(2).to_pylist():
+            for u in units(t):
+                ws = words(u)
+                for c, v in zip(cols, (" ".join(ws), solid(u), form(u, ws), repeated(ws, nothing)[0] >= REPEATED), strict=True):
+                    c.append(v)
+            ends.append(len(cols[0]))
+        flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _UNIT)], names=[f.name for f in _UNIT])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["h", "part", "units"])
+
+
+def _of_texts(column: pa.Array) -> list[list[tuple[str, int, bool, bool]]]:
+    """The units of each text."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends = column.offsets.to_pylist()
+    flat = column.values
+    all_ = list(zip(*(flat.field(i).to_pylist() for i in range(4))))
+    return [all_[i:j] for i, j in zip(ends, ends[1:])]
+
+
 def _dedupe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of a task without further copies of a text, known by the hash in the first column."""
     seen: set[int] = set()
@@ -238,7 +261,6 @@ def _dedupe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``part, k, g, n, d, s`` of the words (``k``) and of hashed words and neighbours (``g``) of a task's texts, a text of several copies once."""
-    nothing = frozenset()
     held: dict[int, tuple[Counter, Counter, Counter]] = {}
 
     def given() -> pa.RecordBatch:
@@ -249,21 +271,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in _dedupe(batches):
         parts, plain = b.column(1).to_numpy(), []
-        for part, t in zip(parts.tolist(), b.column(2).to_pylist()):
+        for part, text in zip(parts.tolist(), _of_texts(b.column(2))):
             n, d, s = held.setdefault(part, (Counter(), Counter(), Counter()))
-            bad: set[str] = set()
-            each, all_ = [], []
-            for u in units(t):
-                ws = words(u)
-                each.append(ws)
-                all_ += ws
-                if form(u, ws) or repeated(ws, nothing)[0] >= REPEATED:
-                    bad.update(ws)
-            plain.append(strung(each))
+            all_ = " ".join([w for w, _, _, _ in text if w]).split()
             n.update(all_)
             n[""] += len(all_)
             d.update({"", *all_})
-            s.update(bad)
+            s.update({x for w, _, listed, again in text if listed or again for x in w.split()})
+            # marks keep the neighbours of two units apart
+            plain.append(" . ".join([w for w, _, _, _ in text]))
         for t in lex(pa.array(plain, pa.string())):
             row, both, _, _ = neighbours(t)
             at = np.flatnonzero(t.kind == WORD)
@@ -293,7 +309,7 @@ def _judge(texts: pa.Table, counts: pa.Table) -> pa.Table:
     words_ = dict(zip(spelt["k"].to_pylist(), zip(*(spelt[c].to_pylist() for c in ("n", "d", "s")))))
     part = Part(words_, counts["g"].to_numpy()[hashed].view(np.uint64), counts["d"].to_numpy()[hashed])
     h, first = np.unique(texts["h"].to_numpy(), return_index=True)
-    rows, spread = part.judge(texts["t"].take(pa.array(first)).to_pylist())
+    rows, spread = part.judge(_of_texts(texts["units"].take(pa.array(first))))
     item = pa.struct([("c", pa.int32()), ("w", pa.float64()), ("n", pa.int64())])
     low = [[{"c": c, "w": w, "n": n} for c, w, n in r[2]] for r in rows]
     seen = [{"c": c, "w": float(at), "n": n} for (c, at), n in spread.items()]
@@ -349,7 +365,7 @@ def judge_texts(df: DataFrame, text: str) -> tuple[DataFrame, dict[int, float]]:
     part = F.element_at(F.lit(labels(spark, parts)), F.pmod(F.xxhash64(t, F.lit(1)), F.lit(parts)).cast("int") + 1)
     # copies are dropped before anything is moved, so that no text fills a part
     slim = df.select(F.xxhash64(t).alias("h"), part.cast("int").alias("part"), t.alias("t")).where("t is not null").mapInArrow(_dedupe, "h long, part int, t string")
-    placed = slim.repartition(parts, "part")
+    placed = slim.mapInArrow(_cut, "h long, part int, units array<struct<w: string, n: int, f: boolean, a: boolean>>").repartition(parts, "part")
     every = Window.partitionBy("k", "g")
     counts = placed.mapInArrow(_count, "part int, k string, g long, n long, d long, s long").select("part", "k", "g", *[F.sum(c).over(every).alias(c) for c in "nds"])
     judged = cut(placed.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(_judge, "h long, whole long, bad long, units array<struct<c: int, w: double, n: long>>"))

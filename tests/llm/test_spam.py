@@ -55,7 +55,8 @@ def test_counts_of_the_corpus(spark, monkeypatch):
         want_words.update({w for ws in each for w in ws})
         want_pairs.update({p for ws in each for p in zip(ws, ws[1:]) if "0" not in p})
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    rows = [b for b in S._count(S._dedupe(iter([b for b in df.selectExpr("xxhash64(text) h", "cast(pmod(xxhash64(text), 3) as int) part", "text t").toArrow().to_batches()])))]
+    batches = df.selectExpr("xxhash64(text) h", "cast(pmod(xxhash64(text), 3) as int) part", "text t").toArrow().to_batches()
+    rows = list(S._count(S._cut(iter(batches))))
     spelt, hashed = Counter(), Counter()
     for b in rows:
         for k, g, d in zip(*(b[c].to_pylist() for c in ("k", "g", "d"))):
@@ -101,7 +102,7 @@ def test_information():
         d = np.concatenate([np.full(len(both), 40), np.full(len(one) * 2, 80)])
     at = np.unique(h, return_index=True)[1]
     part = Part({"": (10**5, 10**4, 0)}, h[at], d[at])
-    a, b, c = part.information([ordered, shuffled, [f"w{i}" for i in "abcdefghijkl"]])
+    a, b, c = part.information([" ".join(x) for x in (ordered, shuffled, [f"w{i}" for i in "abcdefghijkl"])])
     assert a > 0.5 and b < -0.8 and c != c
     assert part.information([]).tolist() == []
     assert limits({(5, 70): 300, (5, 75): 300, (6, 1): 3}) == {5: limits({(5, 70): 300, (5, 75): 300})[5], 6: limits({(5, 70): 300, (5, 75): 300})[5]}
