@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark import cloudpickle
 
+from arclume.llm import clusters as C
 from arclume.llm import vectors as V
 from arclume.llm.clusters import average_linkage, components, describe, vector_clusters
 
@@ -265,7 +266,10 @@ def dense_average_linkage(u, threshold):
     return {frozenset(g) for g in groups if len(g) >= 3}
 
 
-def test_average_linkage(spark):
+@pytest.mark.parametrize("few", [64 << 20, 3000, 0])
+def test_average_linkage(spark, monkeypatch, few):
+    """In one task, by rounds of jobs, and by some of both."""
+    monkeypatch.setattr(C, "FEW_BYTES", few)
     rng = np.random.default_rng(8)
     parts = [rng.standard_normal((30, 12))]
     for size, spread in ((25, 0.45), (20, 0.3), (15, 0.55), (4, 0.1), (2, 0.1)):
